@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellichor.llm import splitting, term_counts
+from vellichor.llm import encoding_repair, splitting, term_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,27 @@ def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
     return term_counts.term_marks(_t(spark, sf, "kg_chunks"))
 
 
+def _damageable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, encoding_repair.Mappings]:
+    chunks, findings = _t(spark, sf, "kg_chunks"), _t(spark, sf, "audit_findings")
+    texts = chunks.select("text").unionAll(findings.select(F.col("excerpt").alias("text")))
+    return chunks, findings, encoding_repair.learn(texts)
+
+
+def _damaged(spark: SparkSession, sf: str, restored: bool) -> DataFrame:
+    chunks, findings, m = _damageable(spark, sf)
+    a = encoding_repair.damaged_rows(chunks, m, "seq", "text", restored).withColumn("table_name", F.lit("kg_chunks"))
+    b = encoding_repair.damaged_rows(findings, m, "finding_id", "excerpt", restored).withColumn("table_name", F.lit("audit_findings"))
+    return a.unionByName(b)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _damaged(spark, sf, False).select("table_name", "row_key")
+
+
+def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return _damaged(spark, sf, True).select("table_name", "row_key", "restored", "how")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(_t(spark, sf, "kg_chunks")).filter("piece_no = 0").select("seq")
 
@@ -55,7 +76,7 @@ marked AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

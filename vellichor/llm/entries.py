@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellichor.llm import encoding_repair, splitting, term_counts
+from vellichor.llm import encoding_repair, splitting, term_counts, text_shape
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,14 @@ def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
     return term_counts.term_marks(_t(spark, sf, "kg_chunks"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return text_shape.shapes(_t(spark, sf, "kg_chunks")).filter("shape <> 'prose'").select("seq", "shape")
+
+
+def p3_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return text_shape.shapes(_t(spark, sf, "kg_chunks"))
+
+
 def _damageable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, encoding_repair.Mappings]:
     chunks, findings = _t(spark, sf, "kg_chunks"), _t(spark, sf, "audit_findings")
     texts = chunks.select("text").unionAll(findings.select(F.col("excerpt").alias("text")))
@@ -76,7 +84,7 @@ marked AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

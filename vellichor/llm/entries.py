@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellichor.llm import encoding_repair, splitting, term_counts, text_shape
+from vellichor.llm import encoding_repair, scan_repair, splitting, term_counts, text_shape
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,24 @@ def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
     return term_counts.term_marks(_t(spark, sf, "kg_chunks"))
 
 
+def _scanned(spark: SparkSession, sf: str, repair: bool) -> DataFrame:
+    chunks = _t(spark, sf, "kg_chunks")
+    # tables, formulas and captions are laid out, not running text
+    blocks = _t(spark, sf, "extraction_blocks").filter("block_type is null or lower(trim(block_type)) not in ('table', 'formula')")
+    lexicon = scan_repair.learn(chunks.select("text").unionAll(blocks.select("text")))
+    a = scan_repair.scan_noise(chunks, lexicon, "seq", "text", repair).withColumn("table_name", F.lit("kg_chunks"))
+    b = scan_repair.scan_noise(blocks, lexicon, "block_id", "text", repair).withColumn("table_name", F.lit("extraction_blocks"))
+    return a.unionByName(b)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scanned(spark, sf, False).select("table_name", "row_key", "noise")
+
+
+def p2_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return _scanned(spark, sf, True).select("table_name", "row_key", "noises", "repaired")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return text_shape.shapes(_t(spark, sf, "kg_chunks")).filter("shape <> 'prose'").select("seq", "shape")
 
@@ -84,7 +102,7 @@ marked AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

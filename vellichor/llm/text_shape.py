@@ -68,8 +68,20 @@ class Lines:
     tabled: int
 
 
+def _leaders(line: str) -> bool:
+    return (".." in line or ". . " in line or "…" in line or "__" in line) and bool(_LEADERS.search(line))
+
+
+def _columns(line: str) -> bool:
+    return "  " in line and bool(_COLUMNS.search(line))
+
+
+def _cells(line: str) -> bool:
+    return (";" in line or "," in line) and bool(_CELLS.search(line))
+
+
 def _is_value(word: str) -> bool:
-    return bool(_NUMBER.fullmatch(word)) or word in ("–", "-", "—", "±", "n/a", "n.d.", "NA", "nd")
+    return (word[-1] in "0123456789.,%" and bool(_NUMBER.fullmatch(word))) or word in ("–", "-", "—", "±", "n/a", "n.d.", "NA", "nd")
 
 
 def line_kinds(text: str) -> Lines:
@@ -86,8 +98,8 @@ def line_kinds(text: str) -> Lines:
     open_item = False
     filled = sum(1 for s in lines if s.strip()) or 1
     most = max(2, 0.5 * filled)
-    semis = sum(1 for s in lines if _CELLS.search(s)) >= most
-    columns = sum(1 for s in lines if _COLUMNS.search(s.strip()) and not _LEADERS.search(s)) >= most
+    semis = sum(1 for s in lines if _cells(s)) >= most
+    columns = sum(1 for s in lines if _columns(s.strip()) and not _leaders(s)) >= most
     marked = sum(1 for s in lines if _MARKER.match(s))
     if marked < max(2, 0.2 * filled):
         marked = 0
@@ -99,17 +111,17 @@ def line_kinds(text: str) -> Lines:
             continue
         n = len(t) - t.count(" ")
         total += n
-        if _LEADERS.search(t):
+        if _leaders(t):
             listed += n
             open_item = False
             continue
-        if _DUMP.fullmatch(t):
+        if (t[0] in "0123456789abcdefABCDEF(") and _DUMP.fullmatch(t):
             continue
-        if (t.count("|") >= 2 and t[0] == t[-1] == "|") or (" | " in t and piped[s.count("|")] >= 2) or "\t" in t or (semis and _CELLS.search(t)) or (columns and _COLUMNS.search(t)):
+        if (t.count("|") >= 2 and t[0] == t[-1] == "|") or (" | " in t and piped[s.count("|")] >= 2) or "\t" in t or (semis and _cells(t)) or (columns and _columns(t)):
             tabled += n
             open_item = False
             continue
-        if _INDEX.fullmatch(t):
+        if t[-1].isdigit() and ", " in t and _INDEX.fullmatch(t):
             listed += n
             open_item = False
             continue

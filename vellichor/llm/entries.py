@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellichor.llm import encoding_repair, scan_repair, splitting, term_counts, text_shape
+from vellichor.llm import encoding_repair, leakage, scan_repair, splitting, term_counts, text_shape
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,10 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(_t(spark, sf, "kg_chunks"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
+
+
 _SPACE = r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _NOT_SPACE = r"[^\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -102,7 +106,7 @@ marked AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellichor.llm import encoding_repair, leakage, scan_repair, splitting, term_counts, text_shape
+from vellichor.llm import encoding_repair, leakage, scan_repair, splitting, term_counts, text_shape, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(_t(spark, sf, "documents")).filter("is_cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_by_source(truncation.truncated(_t(spark, sf, "documents")))
+
+
 _SPACE = r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _NOT_SPACE = r"[^\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -106,7 +114,7 @@ marked AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellichor.llm import encoding_repair, leakage, scan_repair, splitting, term_counts, text_shape, truncation
+from vellichor.llm import encoding_repair, leakage, mixing, scan_repair, splitting, term_counts, text_shape, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,18 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items"))
 
 
+def _mixture(spark: SparkSession, sf: str) -> mixing.Mixture:
+    return mixing.mix(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf).records.withColumnRenamed("row_id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf).shares()
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncated(_t(spark, sf, "documents")).filter("is_cut").select("doc_id")
 
@@ -114,7 +126,7 @@ marked AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:

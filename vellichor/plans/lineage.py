@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellichor.plans.session import steady
+
 _fallback: dict[str, str] = {}
 
 
@@ -31,7 +33,7 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     Unlike a local checkpoint the files survive the loss of any executor, and
     readers get column pruning and pushed filters.
     """
-    spark = df.sparkSession
+    spark = steady(df.sparkSession)
     path = scratch_dir(spark, name)
     w = df.write.mode("overwrite")
     if partition_by:

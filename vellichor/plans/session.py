@@ -20,6 +20,7 @@ def default_session(app: str = "vellichor", master: str | None = None, **conf: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.unionOutputPartitioning": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -27,3 +28,10 @@ def default_session(app: str = "vellichor", master: str | None = None, **conf: s
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def steady(spark: SparkSession) -> SparkSession:
+    """Turns off a 4.1 planner rule under which AQE may zip unions of unequally coalesced shuffles, which fails."""
+    if spark.conf.get("spark.sql.unionOutputPartitioning", None) == "true":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark

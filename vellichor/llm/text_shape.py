@@ -45,8 +45,8 @@ FLOOR = 0.03
 
 _LANGS = tuple(COMMON)
 _KNOWN = {w: tuple(k for k, lang in enumerate(_LANGS) if w in COMMON[lang].split()) for lang in _LANGS for w in COMMON[lang].split()}
-_READABLE = re.compile(r"(?<!\S)[\"'“‘(\[]?[^\W\d_]*[aeiouyáéíóúàèìòùâêîôûäöüãõåæøœAEIOUYÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄÖÜÃÕÅ�][^\W\d_]*(?:[-’'][^\W\d_]+)*[\"'”’)\]]?[.,;:!?]*(?!\S)")
-_SENTENCE = re.compile(r"[^\W\d_)\]%°]{2,}[.!?][\"”’)]?(?=\s|$)|[.!?][\"”’)]?\s+(?=[A-ZÀ-Þ])")
+_READABLE = re.compile(r"(?<!\S)[\"'“‘(\[]?[^\W\d_]{0,40}[aeiouyáéíóúàèìòùâêîôûäöüãõåæøœAEIOUYÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄÖÜÃÕÅ�][^\W\d_]{0,40}(?:[-’'][^\W\d_]{1,40}){0,8}[\"'”’)\]]?[.,;:!?]*(?!\S)")
+_SENTENCE = re.compile(r"[^\W\d_)\]%°]{2}[.!?][\"”’)]?(?=\s|$)|[.!?][\"”’)]?\s+(?=[A-ZÀ-Þ])")
 _LEADERS = re.compile(r"(?:\.{4,}|(?:\. ){4,}|…{2,}|_{4,})\s*\d{1,4}\s*$")
 _MARKER = re.compile(r"\s*(?:[-*•◦▪‣]\s+(?!\d+ -$)|\(?(?:\d{1,3}|[ivx]{1,5})[.)]\s+(?=\S)|\(?[a-z]\)\s+|\[\d{1,3}\]\s+(?=\S))")
 _INDEX = re.compile(r"[^\W\d_][^,;|\t]{1,80}(?:,\s+\d{1,4}(?:[-–]\d{1,4})?)+\s*$")
@@ -69,7 +69,7 @@ class Lines:
 
 
 def _leaders(line: str) -> bool:
-    return (".." in line or ". . " in line or "…" in line or "__" in line) and bool(_LEADERS.search(line))
+    return (".." in line or ". . " in line or "…" in line or "__" in line) and bool(_LEADERS.search(line[-200:]))
 
 
 def _columns(line: str) -> bool:

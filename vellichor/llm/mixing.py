@@ -123,6 +123,7 @@ def quotas(sizes: list[tuple[str, int, int]], targets: list[tuple[str, str, floa
     rows, report = [], []
     for mix in sorted({m for m, *_ in targets}):
         mine = sorted((s, w, r) for m, s, w, r in targets if m == mix)
+        whole = sum(w for _, w, _ in mine) or 1.0
         weights = np.array([w if s in by and r > 0 else 0.0 for s, w, r in mine])
         have = np.array([sum(t for _, t in by.get(s, [])) for s, _, _ in mine], float)
         caps = np.array([int(h * r // block_tokens) if w else 0 for h, (_, _, r), w in zip(have, mine, weights, strict=True)], np.int64)
@@ -133,7 +134,7 @@ def quotas(sizes: list[tuple[str, int, int]], targets: list[tuple[str, str, floa
             total = int(np.floor((caps[ok] / weights[ok]).min() * weights.sum())) if ok.any() else 0
         seats = sainte_lague(weights, total, caps) if weights.sum() else np.zeros(len(mine), np.int64)
         for (s, w, r), q, h in zip(mine, seats, have, strict=True):
-            report.append((mix, s, float(w), float(w) / sum(x for _, x, _ in mine), int(r), int(h), int(q)))
+            report.append((mix, s, float(w), float(w) / whole, int(r), int(h), int(q)))
             if not q:
                 continue
             size = np.array([t for _, t in by[s]], float)

@@ -130,7 +130,7 @@ class TermCountStore:
         return self._read("records", RECORD_SCHEMA)
 
     def counts(self) -> DataFrame:
-        return self._read("counts", COUNT_SCHEMA)
+        return self._read("counts", COUNT_SCHEMA).select(*COUNT_SCHEMA.names)
 
     def apply(self, delivered: DataFrame | None = None, deleted_keys: DataFrame | None = None, key: str = "id", version: str = "seq") -> TermCountStore:
         """Counts a batch: deliveries (added or changed records) and deletions.

@@ -310,10 +310,12 @@ def shape_of(x: np.ndarray, terms: np.ndarray, limit: float) -> str:
     if terms.sum() <= limit:
         return "prose"
     v = dict(zip(STATISTICS, x, strict=True))
-    if v["table_share"] > 0.5 and v["table_share"] >= v["list_share"] and v["mean_word_length"] >= 1.5:
+    # single letters in long lines
+    spaced = v["mean_word_length"] < 1.5 and v["log_words_per_line"] > np.log1p(20)
+    if v["table_share"] > 0.5 and v["table_share"] >= v["list_share"] and not spaced:
         return "table"
-    unreadable = v["readable_words"] < 0.35 and v["common_words"] < 0.05 or v["mean_word_length"] < 1.5
-    if v["list_share"] > 0.5 and v["mean_word_length"] >= 1.5 and not (unreadable and v["readable_words"] < 0.1):
+    unreadable = v["readable_words"] < 0.35 and v["common_words"] < 0.05 or spaced
+    if v["list_share"] > 0.5 and not spaced and not (unreadable and v["readable_words"] < 0.1):
         return "list"
     words = np.expm1(v["log_words"])
     repeated = v["distinct_words"] * words**0.9 <= max(2, 0.12 * words) and words >= 8

@@ -126,6 +126,8 @@ class ChunkIndex:
         empty = F.array().cast("array<string>")
         for a in ("terms", "citations", "links", "figures", "table_records"):
             c = c.withColumn(a, F.filter(F.coalesce(F.col(a), empty), lambda x: x.isNotNull() & (F.trim(x) != "")))
+        if "modalities" not in c.columns:
+            c = c.withColumn("modalities", F.array(F.lit("text")))
         c = c.withColumn("heading", F.coalesce("heading", F.lit(""))).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("searched", X.retrieval_text())
         # what depends on the chunk alone is worked out once, when the index is built
         c = materialize(c.withColumns({"low": F.lower("searched"), "heading_low": F.lower("heading"), "flags": X.injection_flags("text"), "defects": X.extraction_warnings("text")}), "index-chunks")

@@ -36,13 +36,13 @@ def key_terms(df: DataFrame, key: str, text: str, limit: int = 14) -> DataFrame:
     without terms have an empty array, a null text counts as empty.
     """
     w = df.select(F.col(key), topic_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    entries = F.concat(
-        F.transform("w", lambda x, k: F.struct(x.alias("term"), F.lit(0).alias("kind"), k.alias("pos"))),
-        *[
-            F.transform(F.filter(F.transform(ngrams(F.col("w"), s), lambda p, k: F.struct(p.alias("p"), k.alias("k"))), lambda q: X.phrase_is_useful(q["p"])), lambda q, s=s: F.struct(F.array_join(q["p"], " ").alias("term"), F.lit(s - 1).alias("kind"), q["k"].alias("pos")))
-            for s in (2, 3)
-        ],
-    )
+    def phrases(size: int) -> Column:
+        placed = F.transform(ngrams(F.col("w"), size), lambda p, k: F.struct(p.alias("p"), k.alias("k")))
+        useful = F.filter(placed, lambda q: X.phrase_is_useful(q["p"]))
+        return F.transform(useful, lambda q: F.struct(F.array_join(q["p"], " ").alias("term"), F.lit(size - 1).alias("kind"), q["k"].alias("pos")))
+
+    words = F.transform("w", lambda x, k: F.struct(x.alias("term"), F.lit(0).alias("kind"), k.alias("pos")))
+    entries = F.concat(words, phrases(2), phrases(3))
     counted = w.select(key, F.explode(entries).alias("e")).groupBy(key, "e.term", "e.kind").agg(F.count(F.lit(1)).alias("n"), F.min("e.pos").alias("pos")).filter("kind = 0 or n > 1")
     weight = F.when(F.col("kind") == 0, F.col("n") * 100).otherwise(F.col("n") * 135)
     ranked = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-weight).alias("a"), (-F.length("term")).alias("b"), "kind", "pos", "term"))).alias("r"))

@@ -60,6 +60,8 @@ class _Html(HTMLParser):
     _SKIP = {"script", "style", "nav", "footer", "header", "aside"}
     _BLOCKS = {"h1": "\n# ", "h2": "\n## ", "h3": "\n### ", "h4": "\n#### ", "p": "", "li": "- "}
 
+    _ENDS_PARAGRAPH = {"p", "ul", "ol", "dl", "pre", "table", "div", "article", "section", "blockquote", "hr", "form", "h1", "h2", "h3", "h4", "h5", "h6"}
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
@@ -70,9 +72,15 @@ class _Html(HTMLParser):
         if tag in self._SKIP:
             self.skip += 1
         elif not self.skip and (tag in self._BLOCKS or tag in ("pre", "code")):
-            if tag == "p" and self.open and self.open[-1][0] == "p":
-                self.handle_endtag("p")
+            self._close_paragraph(tag)
             self.open.append((tag, []))
+        elif not self.skip:
+            self._close_paragraph(tag)
+
+    def _close_paragraph(self, tag):
+        # a block ends an unclosed paragraph
+        if tag in self._ENDS_PARAGRAPH and self.open and self.open[-1][0] == "p":
+            self.handle_endtag("p")
 
     def handle_endtag(self, tag):
         if tag in self._SKIP:
@@ -187,8 +195,9 @@ def _convert(relative: str, data: bytes) -> tuple[str | None, str | None]:
 def convert_folder(spark: SparkSession, folder: str, largest_mb: int = 250) -> DataFrame:
     """(relative, body, status, error) of every supported file, converted to Markdown where it was read.
 
-    A file that can't be converted, is empty or larger than the limit gives
-    ``failed`` and why; it doesn't end the others.
+    A file that can't be converted or is larger than the limit gives
+    ``failed`` and why; it doesn't end the others. Empty files give no row:
+    Spark doesn't read them.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     base = re.sub(r"^file:/*", "/", folder.rstrip("/")) + "/"

@@ -192,7 +192,7 @@ def figure_records(c: str | Column, limit: int = 20) -> Column:
     alt = F.transform(F.regexp_extract_all(col(c), F.lit(MD_IMAGE), F.lit(1)), clean_label)
     path = F.regexp_extract_all(col(c), F.lit(MD_IMAGE), F.lit(2))
     joined = F.zip_with(alt, path, lambda a, p: F.concat(F.when(a == "", "Figure").otherwise(a), F.lit(" ("), p, F.lit(")")))
-    return F.slice(F.array_distinct(joined), 1, limit)
+    return F.when(F.contains(col(c), F.lit("![")), F.slice(F.array_distinct(joined), 1, limit)).otherwise(F.array().cast("array<string>"))
 
 
 def table_records(c: str | Column, limit: int = 20) -> Column:
@@ -212,7 +212,9 @@ def table_records(c: str | Column, limit: int = 20) -> Column:
         return compact(F.array_join(F.slice(cells, 1, 10), " | "), 240)
 
     made = F.when(groups > 0, F.transform(F.sequence(F.lit(0), groups - 1), record)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(rows) < 2, F.array().cast("array<string>")).otherwise(F.filter(made, lambda x: x != ""))
+    none = F.array().cast("array<string>")
+    # most texts have no table: nothing above is worked out for them
+    return F.when(~F.contains(col(c), F.lit("|")), none).when(F.size(rows) < 2, none).otherwise(F.filter(made, lambda x: x != ""))
 
 
 def phrase_is_useful(words: Column) -> Column:

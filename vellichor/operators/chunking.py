@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellichor.functions import text as X
 from vellichor.operators.terms import key_terms
+from vellichor.plans.lineage import materialize
 
 
 def numbered_lines(df: DataFrame, key: str, body: str) -> DataFrame:
@@ -82,6 +83,8 @@ def chunk_markdown(df: DataFrame, key: str, path: str, body: str, max_tokens: in
         X.figure_records("raw").alias("figures"),
         X.table_records("raw").alias("table_records"),
     )
+    # the cleaned text is read by every column below
+    c = materialize(c, "chunk-texts")
     c = c.withColumn("id", X.stable_id("chunk", F.concat_ws(":", "path", "ordinal", F.substring(F.sha1(F.substring("text", 1, 500).cast("binary")), 1, 12))))
     c = c.withColumn("citations", F.array_sort(F.array_distinct(X.citations("text")))).withColumn("links", F.array_sort(F.array_distinct(X.links("text"))))
     c = c.withColumn("modalities", F.array_compact(F.array(F.lit("text"), F.when(F.size("figures") > 0, "figure"), F.when(F.size("table_records") > 0, "table")))).withColumn("tokens", X.rough_tokens("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellichor.functions import text as X
-from vellichor.operators.terms import key_terms
+from vellichor.operators.terms import terms_column
 from vellichor.plans.lineage import materialize
 
 
@@ -88,8 +88,7 @@ def chunk_markdown(df: DataFrame, key: str, path: str, body: str, max_tokens: in
     c = c.withColumn("id", X.stable_id("chunk", F.concat_ws(":", "path", "ordinal", F.substring(F.sha1(F.substring("text", 1, 500).cast("binary")), 1, 12))))
     c = c.withColumn("citations", F.array_sort(F.array_distinct(X.citations("text")))).withColumn("links", F.array_sort(F.array_distinct(X.links("text"))))
     c = c.withColumn("modalities", F.array_compact(F.array(F.lit("text"), F.when(F.size("figures") > 0, "figure"), F.when(F.size("table_records") > 0, "table")))).withColumn("tokens", X.rough_tokens("text"))
-    terms = key_terms(c.select("id", "text"), "id", "text", top_terms)
-    return c.join(terms, "id").select("id", "doc_id", "path", "heading", "ordinal", "text", "tokens", "terms", "citations", "links", "figures", "table_records", "modalities")
+    return c.withColumn("terms", terms_column("text", top_terms)).select("id", "doc_id", "path", "heading", "ordinal", "text", "tokens", "terms", "citations", "links", "figures", "table_records", "modalities")
 
 
 # chunks of a size for conversion: blocks stay whole where they can

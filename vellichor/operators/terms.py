@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellichor.functions import text as X
 
+_WORD = re.compile(X.WORD)
+_STOP = frozenset(X.STOP_WORDS)
+
 
 def topic_words(c: str | Column) -> Column:
     """Tokens of more than two letters that are no stop words even after stripping."""
@@ -27,28 +35,46 @@ def phrase_counts(df: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (
     return w.select(key, F.explode(parts).alias("p")).groupBy(key, F.array_join("p", " ").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def best_terms(text: str | None, limit: int) -> list[str]:
+    """The key terms of one text, see ``key_terms``."""
+    found = (m.lower() for m in _WORD.findall(text or ""))
+    words = [w for w in (m.strip("_+-") for m in found if m not in _STOP) if len(w) > 2 and w not in _STOP]
+    weight: dict[str, int] = {w: 100 * n for w, n in Counter(words).items()}
+    for size in (2, 3):
+        runs = Counter(zip(*(words[k:] for k in range(size)), strict=False))
+        for run, n in runs.items():
+            if n > 1 and len(set(run)) == size and any(len(w) > 3 for w in run):
+                weight[" ".join(run)] = 135 * n
+    taken: list[str] = []
+    # the sort is stable: words come before phrases, each in the order of their first place
+    for term in sorted(weight, key=lambda t: (-weight[t], -len(t))):
+        if len(taken) == limit:
+            break
+        if not any(term in t for t in taken):
+            taken.append(term)
+    return taken
+
+
 def key_terms(df: DataFrame, key: str, text: str, limit: int = 14) -> DataFrame:
     """(key, terms): the best terms of each text.
 
     Words weigh their count, phrases of two or three words that occur more
     than once 1.35 times theirs. Order: weight, length, words before phrases,
-    first position. A term inside one already taken is passed over. Texts
+    first place. A term inside one already taken is passed over. Texts
     without terms have an empty array, a null text counts as empty.
+
+    Each text is settled where it is, in Arrow batches: counting its phrases
+    with a shuffle would move more than the text itself.
     """
-    w = df.select(F.col(key), topic_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    def phrases(size: int) -> Column:
-        placed = F.transform(ngrams(F.col("w"), size), lambda p, k: F.struct(p.alias("p"), k.alias("k")))
-        useful = F.filter(placed, lambda q: X.phrase_is_useful(q["p"]))
-        return F.transform(useful, lambda q: F.struct(F.array_join(q["p"], " ").alias("term"), F.lit(size - 1).alias("kind"), q["k"].alias("pos")))
-
-    words = F.transform("w", lambda x, k: F.struct(x.alias("term"), F.lit(0).alias("kind"), k.alias("pos")))
-    entries = F.concat(words, phrases(2), phrases(3))
-    counted = w.select(key, F.explode(entries).alias("e")).groupBy(key, "e.term", "e.kind").agg(F.count(F.lit(1)).alias("n"), F.min("e.pos").alias("pos")).filter("kind = 0 or n > 1")
-    weight = F.when(F.col("kind") == 0, F.col("n") * 100).otherwise(F.col("n") * 135)
-    ranked = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-weight).alias("a"), (-F.length("term")).alias("b"), "kind", "pos", "term"))).alias("r"))
-    taken = F.aggregate(
-        F.transform("r", lambda x: x["term"]),
-        F.array().cast("array<string>"),
-        lambda acc, t: F.when((F.size(acc) >= limit) | F.exists(acc, lambda a: F.contains(a, t)), acc).otherwise(F.concat(acc, F.array(t))),
-    )
-    return df.select(key).join(ranked.select(key, taken.alias("terms")), key, "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    return df.select(F.col(key), terms_column(text, limit).alias("terms"))
+
+
+def terms_column(text: str | Column, limit: int = 14) -> Column:
+    """The key terms of a text as an array."""
+
+    @F.pandas_udf("array<string>")
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: best_terms(t, limit))
+
+    return best(F.coalesce(X.col(text), F.lit("")))

@@ -31,6 +31,15 @@ def test_quotas_keep_caps():
     assert got == {"a": 200, "b": 200, "none": 0} and sum(r[3] for r in rows if r[1] == "b") == 200
 
 
+def test_source_below_a_block_does_not_empty_a_mix():
+    sizes = [("a", 0, 10_000), ("b", 0, 40_000), ("tiny", 0, 30)]
+    rows, report = quotas(sizes, [("m", "a", 1, 2), ("m", "b", 1, 1), ("m", "tiny", 1, 3), ("z", "tiny", 1, 2)], 100, None)
+    assert {(r[0], r[1]): r[6] for r in report} == {("m", "a"): 200, ("m", "b"): 200, ("m", "tiny"): 3, ("z", "tiny"): 2}
+    assert ("m", "tiny", 0, 3, 1, 30) in rows
+    _, report = quotas(sizes, [("m", "a", 1, 2), ("m", "tiny", 1, 3)], 100, 1000)
+    assert {r[1]: r[6] for r in report} == {"a": 7, "tiny": 3}
+
+
 def docs(spark):
     rows = []
     for k in range(600):

@@ -114,7 +114,9 @@ def quotas(sizes: list[tuple[str, int, int]], targets: list[tuple[str, str, floa
 
     ``sizes`` has (source, shard, tokens), ``targets`` (mix, source, weight,
     repeats). Without ``total_tokens`` a mix is as large as its targets can be
-    met without a source going over its cap.
+    met without a source going over its cap. A source whose repeats do not
+    fill one block cannot be met in blocks: it does not size the mix and gives
+    what it has, at most as often as it may be repeated.
     """
     by: dict[str, list[tuple[int, int]]] = {}
     for s, shard, tokens in sorted(sizes):
@@ -127,11 +129,16 @@ def quotas(sizes: list[tuple[str, int, int]], targets: list[tuple[str, str, floa
         weights = np.array([w if s in by and r > 0 else 0.0 for s, w, r in mine])
         have = np.array([sum(t for _, t in by.get(s, [])) for s, _, _ in mine], float)
         caps = np.array([int(h * r // block_tokens) if w else 0 for h, (_, _, r), w in zip(have, mine, weights, strict=True)], np.int64)
+        small = (weights > 0) & (caps == 0)
+        ok = (weights > 0) & ~small
+        caps = np.where(small, [r for _, _, r in mine], caps)
         if total_tokens is not None:
             total = total_tokens // block_tokens
+        elif ok.any():
+            each = (caps[ok] / weights[ok]).min()
+            total = int(np.floor(each * weights[ok].sum())) + int(np.minimum(caps, np.floor(each * weights))[small].sum())
         else:
-            ok = weights > 0
-            total = int(np.floor((caps[ok] / weights[ok]).min() * weights.sum())) if ok.any() else 0
+            total = int(caps.sum())
         seats = sainte_lague(weights, total, caps) if weights.sum() else np.zeros(len(mine), np.int64)
         for (s, w, r), q, h in zip(mine, seats, have, strict=True):
             report.append((mix, s, float(w), float(w) / whole, int(r), int(h), int(q)))

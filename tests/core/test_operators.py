@@ -110,6 +110,20 @@ def test_search(spark):
     assert r["a"].term_hit and r["a"].found_terms == 1 and r["b"].term_hit is None
 
 
+def test_index_graph_has_topics(spark):
+    docs = spark.createDataFrame([(f"d{k}", f"Title {k}", f"p{k}.md") for k in range(4)], "doc_id string, title string, path string")
+    ix = retrieval.ChunkIndex.build(docs, chunk_rows(spark), "none")
+    topics = {r.id: r.label for r in ix.nodes.filter("type = 'community'").collect()}
+    assert set(topics.values()) == {"alphaterm", "spider silk", "tensile"} and all(k.startswith("community:") for k in topics)
+    e = [r for r in ix.edges.filter("type in ('related_to', 'member_of')").collect()]
+    # d0's first chunk came again without terms
+    member = {(r.source, topics[r.target]): r.weight for r in e if r.type == "member_of"}
+    assert len(member) == 12 and member["d0", "tensile"] == 1 and member["d1", "tensile"] == 2
+    related = {(r.source, r.target): r.weight for r in e if r.type == "related_to"}
+    assert len(related) == 6 and related["d1", "d2"] == round(3 / 7, 4) and related["d0", "d1"] == 0.5
+    assert ix.nodes.count() == ix.nodes.select("id", "type").distinct().count()
+
+
 def test_rules(spark):
     t = "# my_slug\n## \nNumber of words 3\n1 TBA\nSuch fbers\n## References\n1. Ab x. 2. Cd y.\n## Next\n1. Ab x. 2. Cd y.\r\n"
     df = spark.createDataFrame([("a", t), ("b", None), ("c", "")], "path string, body string")

@@ -2,7 +2,9 @@
 
 Nodes: document, chunk, heading, term, citation, external_link, figure,
 table, community. Edges: contains, under_heading, mentions, cites, links_to,
-has_figure, has_table, related_to, member_of.
+has_figure, has_table, related_to, member_of. ``nodes`` and ``edges`` give what
+single documents and chunks hold; communities, related_to and member_of, which
+come of comparing documents, are in ``topic_nodes`` and ``topic_edges``.
 """
 
 from __future__ import annotations
@@ -124,6 +126,18 @@ def community_members(chunks: DataFrame, per_document: int = 8, count: int = 24,
     return t.join(F.broadcast(c), "label").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most).select("doc_id", "label", "rank", "weight")
 
 
+def topic_nodes(chunks: DataFrame) -> DataFrame:
+    """(id, type, label) of the communities, which documents and chunks alone don't give."""
+    return communities(chunks).select(X.stable_id("community", "label").alias("id"), F.lit("community").alias("type"), "label")
+
+
+def topic_edges(chunks: DataFrame) -> DataFrame:
+    """(source, target, type, weight): related_to by the share of common terms, member_of by the chunks that hold the term."""
+    related = similar_documents(chunks).select("source", "target", F.lit("related_to").alias("type"), F.col("jaccard").alias("weight"))
+    member = community_members(chunks).select(F.col("doc_id").alias("source"), X.stable_id("community", "label").alias("target"), F.lit("member_of").alias("type"), F.col("weight").cast("double").alias("weight"))
+    return related.unionByName(member)
+
+
 def community_terms(chunks: DataFrame, chunks_per_document: int = 3, terms_per_chunk: int = 8, top: int = 12) -> DataFrame:
     """(label, term, n, place): what the first chunks of the members of a community mention most."""
     w = Window.partitionBy("doc_id").orderBy("ordinal", "id")

@@ -135,7 +135,7 @@ class ChunkIndex:
         sparse = SparseIndex.build(c, "id", "searched")
         postings = materialize(sparse.postings, "index-postings")
         sparse = SparseIndex(postings, materialize(sparse.lengths, "index-lengths"), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-        return ChunkIndex(c, documents.select("doc_id", "path", "title"), sparse, materialize(G.nodes(documents, c), "index-nodes"), materialize(G.edges(c), "index-edges"), None if vectors is None else materialize(vectors, "index-vectors"))
+        return ChunkIndex(c, documents.select("doc_id", "path", "title"), sparse, materialize(G.nodes(documents, c).unionByName(G.topic_nodes(c)), "index-nodes"), materialize(G.edges(c).unionByName(G.topic_edges(c)), "index-edges"), None if vectors is None else materialize(vectors, "index-vectors"))
 
 
 def lexical_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame) -> DataFrame:

@@ -50,5 +50,18 @@ def test_inline_header():
     assert found == set()
 
 
+def test_header_of_one_document_counts_in_any_collection(spark):
+    head = "Brimhold Chapter Notes"
+    rows = [(k, f"It was kept at the wall of the\n{head} {k}\nfirst room and then it was", "a", f"p{k}") for k in range(3)]
+    rows += [(k, "It was kept at the wall of the\nOrdinary Capital Line\nfirst room and then it was", "b", "p0") for k in (10, 11)]
+    df = spark.createDataFrame(rows, "seq long, text string, doc string, part string")
+    lex = learn(df, "text", "doc", "part")
+    # the rest of a large collection
+    lex.line_total = 10**7
+    got = {r.row_key for r in scan_noise(df, lex, "seq", document="doc").filter("noise = 'furniture'").collect()}
+    assert {0, 1, 2} <= got and not {10, 11} & got
+    assert not {0, 1, 2} & {r.row_key for r in scan_noise(df, lex, "seq").filter("noise = 'furniture'").collect()}
+
+
 def test_candidates_are_bounded():
     assert "the" in set(candidates("thc")) and list(candidates("a" * 1000)) == []

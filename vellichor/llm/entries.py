@@ -32,9 +32,12 @@ def _scanned(spark: SparkSession, sf: str, repair: bool) -> DataFrame:
     chunks = _t(spark, sf, "kg_chunks")
     # tables, formulas and captions are laid out, not running text
     blocks = _t(spark, sf, "extraction_blocks").filter("block_type is null or lower(trim(block_type)) not in ('table', 'formula')")
-    lexicon = scan_repair.learn(chunks.select("text").unionAll(blocks.select("text")))
-    a = scan_repair.scan_noise(chunks, lexicon, "seq", "text", repair).withColumn("table_name", F.lit("kg_chunks"))
-    b = scan_repair.scan_noise(blocks, lexicon, "block_id", "text", repair).withColumn("table_name", F.lit("extraction_blocks"))
+    # a chunk and a block of the same page are not a recurrence
+    chunk_of, block_of = F.concat(F.lit("kg_chunks:"), "doc_id"), F.concat(F.lit("extraction_blocks:"), "path")
+    placed = chunks.select("text", chunk_of.alias("document"), F.col("id").cast("string").alias("part")).unionAll(blocks.select("text", block_of, F.col("block_id").cast("string")))
+    lexicon = scan_repair.learn(placed, "text", "document", "part")
+    a = scan_repair.scan_noise(chunks, lexicon, "seq", "text", repair, chunk_of).withColumn("table_name", F.lit("kg_chunks"))
+    b = scan_repair.scan_noise(blocks, lexicon, "block_id", "text", repair, block_of).withColumn("table_name", F.lit("extraction_blocks"))
     return a.unionByName(b)
 
 

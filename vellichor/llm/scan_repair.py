@@ -11,6 +11,8 @@ Two statistics are counted over all texts, within the tasks first: words
 (how often, and how often in texts with letters read as digits or signs) and
 lines that may be running headers. Only words and lines above a least share
 are sent to the tasks, so there are at most 1 / share of them at any size.
+Lines that recur within a document are counted exactly and joined to its rows:
+a header of one document weighs the same in any collection.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellichor.llm.text_shape import _KNOWN, _READABLE, line_kinds
@@ -33,6 +35,8 @@ GOOD_SHARE = 2e-5
 RATIO = 12.0
 ENRICHED = 3.0
 USUAL_LINE_SHARE = 1e-4
+#: Rows of a document below which a recurring line says nothing.
+USUAL_LINE_ROWS = 0.25
 
 #: What optical recognition makes of letters: (written, read). Fixed values.
 CONFUSIONS = [
@@ -135,19 +139,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter[str] = Counter()
     noisy: Counter[str] = Counter()
     lines: Counter[str] = Counter()
+    placed: set[tuple[str, str, str]] = set()
 
     def flush() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays(
-            [pa.array(["w"] * len(words) + ["l"] * len(lines)), pa.array([*words, *lines], pa.string()), pa.array([*words.values(), *lines.values()], pa.int64()), pa.array([*(noisy[w] for w in words), *[0] * len(lines)], pa.int64())],
-            names=["kind", "key", "n", "noisy"],
-        )
+            [
+                pa.array(["w"] * len(words) + ["l"] * len(lines) + ["d"] * len(placed), pa.string()), pa.array([*words, *lines, *(s for s, _, _ in placed)], pa.string()),
+                pa.array([*words.values(), *lines.values(), *[1] * len(placed)], pa.int64()), pa.array([*(noisy[w] for w in words), *[0] * (len(lines) + len(placed))], pa.int64()),
+                pa.array([*[None] * (len(words) + len(lines)), *(d for _, d, _ in placed)], pa.string()), pa.array([*[None] * (len(words) + len(lines)), *(r for _, _, r in placed)], pa.string()),
+            ],
+            names=["kind", "key", "n", "noisy", "document", "part"],
+        )
         words.clear()
         noisy.clear()
         lines.clear()
+        placed.clear()
         return out
 
     for b in batches:
-        for text in b.column(0).to_pylist():
+        for text, document, part in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             if not prose_like(text):
                 continue
             ws = _WORD.findall(text.lower())
@@ -155,14 +165,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if mixed_tokens(text):
                 noisy.update(ws)
             if "\n" in text or len(text) < 100:
-                lines.update({s for s in map(signature, text.split("\n")) if s})
-            if len(words) + len(lines) > 300_000:
+                own = {s for s in map(signature, text.split("\n")) if s}
+                lines.update(own)
+                if document is not None and part is not None:
+                    placed.update((s, document, part) for s in own)
+            if len(words) + len(lines) + len(placed) > 300_000:
                 yield flush()
     yield flush()
 
 
 class Lexicon:
-    """Frequent words and recurring lines of the collection."""
+    """Frequent words and recurring lines of the collection; ``recurring`` (document, lines) has those of each document."""
+
+    recurring: DataFrame | None = None
 
     def __init__(self, words: dict[str, tuple[int, int]], lines: dict[str, int], total: int, noisy_total: int, line_total: int):
         self.words, self.lines, self.total, self.noisy_total, self.line_total = words, lines, max(1, total), noisy_total, max(1, line_total)
@@ -209,15 +224,24 @@ class Lexicon:
         return any(self.count(c) > 0 for c in candidates(t))
 
 
-def learn(texts: DataFrame, column: str = "text") -> Lexicon:
-    """Counts words and lines over all texts; nulls are passed over."""
-    src = texts.select(F.col(column).alias("t")).filter(F.col("t").rlike(r"\S"))
-    counted = materialize(src.mapInArrow(_counts, "kind string, key string, n long, noisy long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy")), "scan-counts")
+def learn(texts: DataFrame, column: str = "text", document: str | None = None, part: str | None = None) -> Lexicon:
+    """Counts words and lines over all texts; nulls are passed over.
+
+    With ``document`` and ``part`` (a row of it; repeated deliveries share one)
+    also in how many parts of its document each line stands.
+    """
+    none = F.lit(None).cast("string")
+    src = texts.select(F.col(column).alias("t"), *[F.col(c).cast("string").alias(a) if c else none.alias(a) for a, c in (("document", document), ("part", part))]).filter(F.col("t").rlike(r"\S"))
+    counted = materialize(src.mapInArrow(_counts, "kind string, key string, n long, noisy long, document string, part string").groupBy("kind", "key", "document", "part").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy")), "scan-counts")
     totals = {r["kind"]: (r["n"], r["noisy"]) for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy")).collect()}
     n, noisy = totals.get("w", (0, 0))
     least = {"w": LEAST_SHARE * n, "l": max(3.0, LEAST_SHARE * totals.get("l", (0, 0))[0])}
     rows = counted.filter(((F.col("kind") == "w") & (F.col("n") >= least["w"])) | ((F.col("kind") == "l") & (F.col("n") >= least["l"]))).collect()
-    return Lexicon({r["key"]: (r["n"], r["noisy"]) for r in rows if r["kind"] == "w"}, {r["key"]: r["n"] for r in rows if r["kind"] == "l"}, n, noisy, totals.get("l", (0, 0))[0])
+    lexicon = Lexicon({r["key"]: (r["n"], r["noisy"]) for r in rows if r["kind"] == "w"}, {r["key"]: r["n"] for r in rows if r["kind"] == "l"}, n, noisy, totals.get("l", (0, 0))[0])
+    if document and part:
+        again = counted.filter("kind = 'd'").groupBy("document", "key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+        lexicon.recurring = materialize(again.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("lines")), "scan-recurring")
+    return lexicon
 
 
 #: Log odds between the states body (0), header (1) and break (2). Fixed values.
@@ -225,8 +249,8 @@ _START = (-0.05, -3.0, -3.0)
 _MOVE = ((-0.05, -3.6, -3.6), (-0.1, -2.5, -2.0), (-0.1, -2.0, -3.5))
 
 
-def emissions(lines: list[str], lexicon: Lexicon) -> list[tuple[float, float, float]]:
-    """Log odds of each line under the three states, from its layout."""
+def emissions(lines: list[str], lexicon: Lexicon, recurring: dict[str, int] | None = None) -> list[tuple[float, float, float]]:
+    """Log odds of each line under the three states, from its layout and how often it recurs, in the collection or in its document."""
     filled = [k for k, s in enumerate(lines) if s.strip()]
     longest = max((len(lines[k].strip()) for k in filled), default=0)
     out = [(0.0, -20.0, -20.0)] * len(lines)
@@ -248,8 +272,10 @@ def emissions(lines: list[str], lexicon: Lexicon) -> list[tuple[float, float, fl
             header += 6
         elif authors:
             header += 3.5
-        if recurs:
-            header += max(0.0, min(5.0, 1.5 * math.log(recurs / (USUAL_LINE_SHARE * lexicon.line_total))))
+        parts = recurring.get(sig, 0) if recurring and sig else 0
+        if recurs or parts:
+            odds = max(recurs / (USUAL_LINE_SHARE * lexicon.line_total), parts / USUAL_LINE_ROWS)
+            header += max(0.0, min(5.0, 1.5 * math.log(odds)))
         if sig is None and not running and not authors:
             header -= 8
         if interrupts:
@@ -269,9 +295,9 @@ def emissions(lines: list[str], lexicon: Lexicon) -> list[tuple[float, float, fl
     return out
 
 
-def label_lines(lines: list[str], lexicon: Lexicon) -> list[int]:
+def label_lines(lines: list[str], lexicon: Lexicon, recurring: dict[str, int] | None = None) -> list[int]:
     """The most likely states (0 body, 1 header, 2 break) by Viterbi's algorithm."""
-    e = emissions(lines, lexicon)
+    e = emissions(lines, lexicon, recurring)
     if all(h < 2 and b < 2 for _, h, b in e):
         return [0] * len(lines)
     score = [_START[s] + e[0][s] for s in range(3)]
@@ -329,13 +355,13 @@ def without_inline(body: str) -> str:
     return "".join([*out, body[at:]])
 
 
-def analyse(text: str, lexicon: Lexicon, repair: bool = False) -> tuple[set[str], str | None]:
-    """The kinds of noise in a text, and the repaired text if asked for."""
+def analyse(text: str, lexicon: Lexicon, repair: bool = False, recurring: dict[str, int] | None = None) -> tuple[set[str], str | None]:
+    """The kinds of noise in a text, and the repaired text if asked for; ``recurring``: the lines that recur in its document."""
     if not prose_like(text):
         return set(), text if repair else None
     found: set[str] = set()
     lines = text.split("\n")
-    labels = label_lines(lines, lexicon)
+    labels = label_lines(lines, lexicon, recurring)
     if any(labels):
         # many numbers are a column, not pages
         if labels.count(2) > max(3, 0.34 * len(lines)) and len(lines) > 2:
@@ -388,22 +414,28 @@ def analyse(text: str, lexicon: Lexicon, repair: bool = False) -> tuple[set[str]
     return found, "\n\n".join(p for p in paragraphs if p)
 
 
-def scan_noise(df: DataFrame, lexicon: Lexicon, row_key: str, text: str = "text", repair: bool = False) -> DataFrame:
+def scan_noise(df: DataFrame, lexicon: Lexicon, row_key: str, text: str = "text", repair: bool = False, document: str | Column | None = None) -> DataFrame:
     """Noise of each row: row_key, noise (one row per kind), or with ``repair``
     row_key, noises (array), repaired for every row that has noise.
 
     Null, empty and blank texts, lists, tables and junk have no noise;
-    repeated rows are judged each on its own, alike.
+    repeated rows are judged each on its own, alike. ``document`` is what
+    ``learn`` was given as such.
     """
     shared = df.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.lines, lexicon.total, lexicon.noisy_total, lexicon.line_total))
-    rows = df.select(F.col(row_key).cast("long").alias("row_key"), F.col(text).alias("t")).filter(F.col("t").rlike(r"\S"))
+    rows = df.select(F.col(row_key).cast("long").alias("row_key"), F.col(text).alias("t"), *([F.col(document).alias("document") if isinstance(document, str) else document.alias("document")] if document is not None else [])).filter(F.col("t").rlike(r"\S"))
+    if document is not None and lexicon.recurring is not None:
+        # few documents have such lines; Spark broadcasts them while they are small
+        rows = rows.join(lexicon.recurring, "document", "left").select("row_key", "t", "lines")
+    else:
+        rows = rows.select("row_key", "t", F.lit(None).cast("map<string,bigint>").alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*shared.value)
         for b in batches:
             keys, noises, texts = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found, fixed = analyse(t, lex, repair)
+            for k, t, again in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                found, fixed = analyse(t, lex, repair, dict(again) if again else None)
                 if repair and found:
                     keys.append(k)
                     noises.append(sorted(found))

@@ -1,7 +1,7 @@
 import math
 import random
 
-from vellichor.llm.truncation import Words, _fit, ending, truncated, truncation_by_source
+from vellichor.llm.truncation import Words, _fit, ending, limit_table, truncated, truncation_by_source
 
 W = Words({"rate": (100, 60), "word": (100, 0), "error": (80, 0), "site": (50, 30), "Test": (60, 0), "basin": (40, 20), "The": (300, 0)})
 CUT = ["The rate of the", "The rate [truncated]", "It was … Continue reading", "| a | b |\n| --- | --- |\n| 1 | 2", "Text.\n\n```py\nx = 1", "It was kept (Fig.", "Keywords: mass rate, word", "- at Niamar Test", "1. Smith, A. On it. Annals 3, 4 (1999).\n2. Jones, B. On the", "Smith et al.", "Source: https://fil", "a\tb\n1\t2\nB", "It differed by 8."]
@@ -40,3 +40,16 @@ def test_table_edges(spark):
     share = {r.source_name: (r.documents, r.cut) for r in truncation_by_source(got).collect()}
     assert share["cutter"] == (43, 13) and share["s_a"][1] == 0 and share[None][1] == 1
     assert truncated(df.limit(0)).collect() == []
+
+
+def test_small_sources_are_fitted_together(spark):
+    full = "The rate of the basin was kept at the site and seen by all of them."
+    rows = [(k, full * (1 + k % 5), "big", 1, "x") for k in range(200)]
+    # five texts a source, one of them dealt at 200 characters
+    rows += [(1000 + 5 * s + k, (full * 5)[:200] if k == 0 else full * (1 + (s + k) % 7), f"host {s}", 1, "x") for s in range(40) for k in range(5)]
+    got = {r.doc_id: r for r in truncated(spark.createDataFrame(rows, "doc_id long, text string, source string, is_cut int, n_chars string")).collect()}
+    assert all(got[1000 + 5 * s].limit_posterior > 0.5 for s in range(40))
+    # a limit of the small sources is none of the large one
+    df = spark.createDataFrame([(s, 200 if k == 0 else 60 + 7 * s + k) for s in range(40) for k in range(5)], "s long, n int").selectExpr("concat('host_', s) as source_name", "n")
+    limits, alone = limit_table(df.unionAll(df.selectExpr("'big'", "n + 1000")))
+    assert alone == {"big"} and limits["POOLED", 200] > 0.5 and ("big", 200) not in limits

@@ -31,6 +31,8 @@ WORD_SHARE = 1e-6
 LIMIT_SHARE = 0.008
 LIMIT_LEAST = 4
 PRIOR = math.log(0.07 / 0.93)
+#: The key of sources too small to be fitted alone; no source has it, keys have no upper case.
+POOLED = "POOLED"
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 _ENDING = re.compile(r"(?<![^\W\d_])([^\W\d_]+(?:[-’'][^\W\d_]+)*)[.,;:!?)](?![^\W\d_])")
@@ -234,20 +236,23 @@ def _fit(counts: list[tuple[int, int]], limits: list[int]) -> dict[int, float]:
     return post
 
 
-def limit_table(docs: DataFrame, source: str = "source_name", length: str = "n") -> dict[tuple[str | None, int], float]:
-    """Posterior of censoring by (source, length) for lengths that are limits.
+def limit_table(docs: DataFrame, source: str = "source_name", length: str = "n") -> tuple[dict[tuple[str | None, int], float], set[str | None]]:
+    """Posterior of censoring by (source, length) for lengths that are limits, and the sources fitted alone.
 
     A limit holds a least share of its source. There are at most 1 / share
     limits a source; sources below a least share of all texts are fitted
-    together, so what reaches the driver is bounded.
+    together under the key ``POOLED``, so what reaches the driver is bounded.
     """
     # lengths are binned for the fit (1/64 of an e-fold), limits are exact
     by = docs.groupBy(source, length).agg(F.count(F.lit(1)).alias("c"))
     by = materialize(by, "length-counts")
     total = by.agg(F.sum("c")).first()[0] or 0
-    sizes = by.groupBy(F.col(source).alias("s")).agg(F.sum("c").alias("size")).filter(F.col("size") >= max(10, 1e-4 * total))
+    large = by.groupBy(F.col(source).alias("s")).agg(F.sum("c").alias("size")).filter(F.col("size") >= max(10, 1e-4 * total))
     # at most 10,000 sources have a share of 1e-4
-    kept = by.select(F.col(source).alias("s0"), F.col(length).alias("n"), "c").join(F.broadcast(sizes), F.col("s0").eqNullSafe(F.col("s"))).select("s", "n", "c", "size")
+    placed = by.select(F.col(source).alias("s0"), F.col(length).alias("n"), "c").join(F.broadcast(large), F.col("s0").eqNullSafe(F.col("s")), "left")
+    placed = placed.groupBy(F.when(F.col("size").isNull(), POOLED).otherwise(F.col("s0")).alias("s"), "n").agg(F.sum("c").alias("c"))
+    sizes = placed.groupBy(F.col("s").alias("s1")).agg(F.sum("c").alias("size"))
+    kept = placed.join(F.broadcast(sizes), F.col("s").eqNullSafe(F.col("s1"))).select("s", "n", "c", "size")
     limits = kept.filter((F.col("c") >= F.greatest(F.lit(LIMIT_LEAST), F.col("size") * LIMIT_SHARE)) & (F.col("n") > 0)).select("s", "n", "c").collect()
     binned = kept.filter("n > 0").groupBy("s", F.floor(F.log("n") * 64).alias("b")).agg(F.sum("c").alias("c"), F.sum(F.col("n") * F.col("c")).alias("w")).select("s", (F.col("w") / F.col("c")).alias("m"), "c").collect()
     out: dict[tuple[str | None, int], float] = {}
@@ -265,7 +270,7 @@ def limit_table(docs: DataFrame, source: str = "source_name", length: str = "n")
         for n, p in _fit(sorted(rest.items()), sorted(mine)).items():
             if p > 0.3:
                 out[s, n] = p
-    return out
+    return out, {r["s"] for r in large.collect()}
 
 
 def truncated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", threshold: float = 0.0) -> DataFrame:
@@ -281,17 +286,17 @@ def truncated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     counted = materialize(counted, "word-ends")
     total = counted.agg(F.sum("n")).first()[0] or 0
     words = {r["word"]: (r["n"], r["ends"]) for r in counted.filter(F.col("n") >= max(2.0, WORD_SHARE * total)).collect()}
-    limits = limit_table(docs.select("source_name", F.length("t").alias("n")))
-    shared = df.sparkSession.sparkContext.broadcast((words, limits))
+    limits, alone = limit_table(docs.select("source_name", F.length("t").alias("n")))
+    shared = df.sparkSession.sparkContext.broadcast((words, limits, alone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Words(shared.value[0])
-        posts = shared.value[1]
+        _, posts, own = shared.value
         for b in batches:
             rows = []
             for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 odds, kind = ending(t, lex)
-                p = posts.get((s, len(t)), 0.0)
+                p = posts.get((s if s in own else POOLED, len(t)), 0.0)
                 # a limit says nothing against a text of another length
                 both = odds + PRIOR + (math.log((p + 0.02) / (1.02 - p)) - PRIOR if p else 0.0)
                 rows.append((len(t), kind, odds, p, both, both > threshold))

@@ -71,3 +71,13 @@ def test_dense(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     r = df.select(V.dense_cosine(F.col("a"), F.col("b")).alias("c"), V.dense_cosine(F.col("a"), F.col("z")).alias("z"), V.dense_to_sparse(F.col("a"), 2).alias("s")).first()
     assert abs(r.c - 1) < 1e-9 and r.z is None and r.s == {0: 0.6, 1: 0.8}
+
+
+def test_whole_documents_keep_all_records(spark, tmp_path):
+    from vellichor import entries
+
+    text = "\n".join([f"![a{k}](p{k}.png)" for k in range(25)] + [f"| r{k} | x |" for k in range(100)])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert entries.queries()["figures"](spark, str(tmp_path)).count() == 25
+    assert entries.queries()["table_records"](spark, str(tmp_path)).count() == 25
+    assert len(one(spark, X.figure_records("t"), t=text)) == 20 and len(one(spark, X.table_records("t"), t=text)) == 20

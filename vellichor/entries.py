@@ -170,12 +170,12 @@ def links(spark, sf):
   SELECT doc_id, unnest(regexp_extract_all(text, '{X.MD_IMAGE}', 1)) AS a, unnest(regexp_extract_all(text, '{X.MD_IMAGE}', 2)) AS p FROM documents))
 SELECT CASE WHEN alt = '' THEN 'Figure' ELSE alt END || ' (' || p || ')' AS figure, count(*) AS n, count(DISTINCT doc_id) AS documents FROM raw GROUP BY 1""")
 def figures(spark, sf):
-    return _extracted(X.figure_records, "figure")(spark, sf)
+    return _extracted(lambda c: X.figure_records(c, None), "figure")(spark, sf)
 
 
 @_query()
 def table_records(spark, sf):
-    return _extracted(X.table_records, "record")(spark, sf)
+    return _extracted(lambda c: X.table_records(c, None), "record")(spark, sf)
 
 
 @_query(rf"""WITH fm AS (SELECT doc_id, regexp_split_to_array(regexp_extract(text, '{X.FRONT_MATTER}', 1), '\r\n|\n') AS p FROM documents),

@@ -187,25 +187,27 @@ def links(c: str | Column) -> Column:
     return F.concat(wiki, F.transform(F.regexp_extract_all(col(c), F.lit(MD_LINK), F.lit(2)), strip))
 
 
-def figure_records(c: str | Column, limit: int = 20) -> Column:
-    """``alt (path)`` of each distinct image, ``Figure`` without alt."""
+def figure_records(c: str | Column, limit: int | None = 20) -> Column:
+    """``alt (path)`` of each distinct image, ``Figure`` without alt; the limit is for chunks, None is all."""
     alt = F.transform(F.regexp_extract_all(col(c), F.lit(MD_IMAGE), F.lit(1)), clean_label)
     path = F.regexp_extract_all(col(c), F.lit(MD_IMAGE), F.lit(2))
     joined = F.zip_with(alt, path, lambda a, p: F.concat(F.when(a == "", "Figure").otherwise(a), F.lit(" ("), p, F.lit(")")))
-    return F.when(F.contains(col(c), F.lit("![")), F.slice(F.array_distinct(joined), 1, limit)).otherwise(F.array().cast("array<string>"))
+    found = F.array_distinct(joined)
+    return F.when(F.contains(col(c), F.lit("![")), found if limit is None else F.slice(found, 1, limit)).otherwise(F.array().cast("array<string>"))
 
 
-def table_records(c: str | Column, limit: int = 20) -> Column:
+def table_records(c: str | Column, limit: int | None = 20) -> Column:
     """Summaries of pipe tables: every four rows give the first ten cells of their first three.
 
     Separator rows count only as the first of all. A rest of fewer than four
-    rows gives a record only where no four were full.
+    rows gives a record only where no four were full. The limit is for chunks,
+    None is all.
     """
     rows = F.filter(F.transform(lines(c), strip), lambda x: x.rlike(TABLE_ROW))
     kept = F.filter(F.transform(rows, lambda x, k: F.struct(x.alias("row"), k.alias("k"))), lambda r: (r["k"] == 0) | ~r["row"].rlike(TABLE_SEPARATOR))
     kept = F.transform(kept, lambda r: r["row"])
     full = F.floor(F.size(kept) / 4).cast("int")
-    groups = F.when(full > 0, F.least(full, F.lit(limit))).when(F.size(kept) > 0, 1).otherwise(0)
+    groups = F.when(full > 0, full if limit is None else F.least(full, F.lit(limit))).when(F.size(kept) > 0, 1).otherwise(0)
 
     def record(g: Column) -> Column:
         cells = F.flatten(F.transform(F.slice(kept, g * 4 + 1, 3), lambda r: F.filter(F.transform(F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|"), strip), lambda x: x != "")))

@@ -42,3 +42,29 @@ def test_contributions_add_up():
 
 def test_long_text():
     assert statistics("a" * 500_000 + "9")[0] == -1
+
+
+def test_the_fitted_distance_decides(spark, monkeypatch):
+    from vellichor.llm import text_shape
+
+    rows = table(spark).filter("seq < 4000")
+    fitted = {(r.seq, r["shape"]) for r in shapes(rows).select("seq", "shape").collect()}
+    d = len(STATISTICS)
+    # nothing fitted: centre 0, every statistic of unit spread
+    monkeypatch.setattr(text_shape, "fit_prose", lambda stats, bound: ProseModel({"none": np.zeros(d)}, {"none": np.eye(d)}))
+    plain = {(r.seq, r["shape"]) for r in shapes(rows).select("seq", "shape").collect()}
+    assert len(fitted - plain) >= 10
+    # fitted, but nothing lies outside
+    monkeypatch.undo()
+    monkeypatch.setattr(text_shape, "chi2_quantile", lambda p, k: 1e12)
+    assert {r["shape"] for r in shapes(rows).select("shape").collect()} == {"prose"}
+
+
+def test_leaders_of_any_length():
+    assert text_shape_leaders("Results " + "." * 1000 + " " * 500 + "12") and not text_shape_leaders("It was ... 12345")
+
+
+def text_shape_leaders(line):
+    from vellichor.llm.text_shape import _leaders
+
+    return _leaders(line)

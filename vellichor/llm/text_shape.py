@@ -7,7 +7,12 @@ deviations first, then means and covariances over the texts that lie within
 the chi-square bound, twice (concentration steps). The distance of a text is
 its Mahalanobis distance from the prose of its language; the contribution of
 a statistic is its term of the squared distance, and the contributions add up
-to it. A text outside the bound takes the shape of its outlying lines.
+to it. Lists, tables and junk lie along facets of the statistics (listed lines,
+values in columns, words that can't be read), each with a pole: what a text
+wholly of that shape would have. A text outside the bound takes the shape of
+the facet along which its distance from prose is at least half of that of the
+pole, in the fitted metric of its language; no statistic has a cut-off of its
+own.
 
 All texts take part in the fit; what the driver sees is one row of moments
 per language.
@@ -42,12 +47,17 @@ COMMON = {
 }
 BOUND = 0.999
 FLOOR = 0.03
+#: The facets of the shapes: statistics, and their values in a text that is nothing else.
+FACETS = {"list": {"list_share": 1.0}, "table": {"table_share": 1.0}, "junk": {"readable_words": 0.0, "common_words": 0.0, "distinct_words": 0.3}}
+#: A text is mostly of a shape from this part of the way to its pole on.
+MOSTLY = 0.5
 
 _LANGS = tuple(COMMON)
 _KNOWN = {w: tuple(k for k, lang in enumerate(_LANGS) if w in COMMON[lang].split()) for lang in _LANGS for w in COMMON[lang].split()}
-_READABLE = re.compile(r"(?<!\S)[\"'“‘(\[]?[^\W\d_]{0,40}[aeiouyáéíóúàèìòùâêîôûäöüãõåæøœAEIOUYÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄÖÜÃÕÅ�][^\W\d_]{0,40}(?:[-’'][^\W\d_]{1,40}){0,8}[\"'”’)\]]?[.,;:!?]*(?!\S)")
+#: A word with a vowel, an elided article before it.
+_READABLE = re.compile(r"(?<!\S)[\"'“‘(\[]?(?:[^\W\d_]{1,3}[’'])?[^\W\d_]{0,40}[aeiouyáéíóúàèìòùâêîôûäöüãõåæøœAEIOUYÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄÖÜÃÕÅ�][^\W\d_]{0,40}(?:[-’'][^\W\d_]{1,40}){0,8}[\"'”’)\]]?[.,;:!?]*(?!\S)")
 _SENTENCE = re.compile(r"[^\W\d_)\]%°]{2}[.!?][\"”’)]?(?=\s|$)|[.!?][\"”’)]?\s+(?=[A-ZÀ-Þ])")
-_LEADERS = re.compile(r"(?:\.{4,}|(?:\. ){4,}|…{2,}|_{4,})\s*\d{1,4}\s*$")
+_PAGE_AT_END = re.compile(r"(?<!\d)\d{1,4}$")
 _MARKER = re.compile(r"\s*(?:[-*•◦▪‣]\s+(?!\d+ -$)|\(?(?:\d{1,3}|[ivx]{1,5})[.)]\s+(?=\S)|\(?[a-z]\)\s+|\[\d{1,3}\]\s+(?=\S))")
 _INDEX = re.compile(r"[^\W\d_][^,;|\t]{1,80}(?:,\s+\d{1,4}(?:[-–]\d{1,4})?)+\s*$")
 _REFERENCE = re.compile(r"(?:^|\s)(?:\[\d{1,3}\]|\d{1,3}\.)\s+[^\W\d_][^\d\n]{1,80}?,\s[^\W\d_]\.")
@@ -69,7 +79,14 @@ class Lines:
 
 
 def _leaders(line: str) -> bool:
-    return (".." in line or ". . " in line or "…" in line or "__" in line) and bool(_LEADERS.search(line[-200:]))
+    """Whether a line ends in leaders and a page number."""
+    if not (".." in line or ". . " in line or "…" in line or "__" in line):
+        return False
+    m = _PAGE_AT_END.search(line.rstrip())
+    if not m:
+        return False
+    lead = line[: m.start()]
+    return lead.rstrip().endswith(("....", "……", "____")) or lead.rstrip(" ").endswith(". . . .") and lead.endswith(" ")
 
 
 def _columns(line: str) -> bool:
@@ -232,11 +249,27 @@ class ProseModel:
     def __init__(self, centres: dict[str, np.ndarray], inverses: dict[str, np.ndarray]):
         self.centres, self.inverses = centres, inverses
 
+    def _key(self, language: str) -> str:
+        return language if language in self.centres else "none"
+
     def contributions(self, language: str, x: np.ndarray) -> np.ndarray:
-        key = language if language in self.centres else "none"
+        key = self._key(language)
         d = x - self.centres[key]
         return d * (d @ self.inverses[key])
 
+    def facets(self, language: str, x: np.ndarray) -> np.ndarray:
+        """How far towards the pole of each shape rows lie: their distance from prose over that of the pole, within the facet."""
+        key = self._key(language)
+        covariance = np.linalg.inv(self.inverses[key])
+        out = np.zeros((len(x), len(FACETS)))
+        for j, pole in enumerate(FACETS.values()):
+            at = [STATISTICS.index(s) for s in pole]
+            metric = np.linalg.inv(covariance[np.ix_(at, at)])
+            centre = self.centres[key][at]
+            d, far = x[:, at] - centre, np.array(list(pole.values())) - centre
+            out[:, j] = np.sqrt(np.einsum("ij,jk,ik->i", d, metric, d) / max(1e-9, far @ metric @ far))
+        return out
+
 
 def _moments(stats: DataFrame, model: ProseModel, bound: float) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
     """Number, mean and covariance of the rows within the bound, by language."""
@@ -305,23 +338,15 @@ def fit_prose(stats: DataFrame, bound: float = BOUND, steps: int = 2) -> ProseMo
     return model
 
 
-def shape_of(x: np.ndarray, terms: np.ndarray, limit: float) -> str:
-    """The shape of one text from its statistics and their contributions."""
-    if terms.sum() <= limit:
-        return "prose"
-    v = dict(zip(STATISTICS, x, strict=True))
-    # single letters in long lines
-    spaced = v["mean_word_length"] < 1.5 and v["log_words_per_line"] > np.log1p(20)
-    if v["table_share"] > 0.5 and v["table_share"] >= v["list_share"] and not spaced:
-        return "table"
-    unreadable = v["readable_words"] < 0.35 and v["common_words"] < 0.05 or spaced
-    if v["list_share"] > 0.5 and not spaced and not (unreadable and v["readable_words"] < 0.1):
-        return "list"
-    words = np.expm1(v["log_words"])
-    repeated = v["distinct_words"] * words**0.9 <= max(2, 0.12 * words) and words >= 8
-    if unreadable or repeated:
-        return "junk"
-    return "prose"
+def shape_of(outlying: np.ndarray, facets: np.ndarray) -> list[str]:
+    """The shape of each row: that of the facet it has gone farthest along, if most of the way.
+
+    Lists and tables come before junk: what their lines hold need not read as words.
+    """
+    names = list(FACETS)
+    laid = facets[:, :2].argmax(1)
+    kind = np.where(facets[:, :2].max(1) >= MOSTLY, laid, np.where(facets[:, 2] >= MOSTLY, 2, 3))
+    return [names[k] if out and k < 3 else "prose" for out, k in zip(outlying, kind, strict=True)]
 
 
 def shapes(df: DataFrame, row_id: str = "seq", text: str = "text", bound: float = BOUND) -> DataFrame:
@@ -341,11 +366,12 @@ def shapes(df: DataFrame, row_id: str = "seq", text: str = "text", bound: float
         for b in batches:
             x = np.column_stack([b.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS]) if b.num_rows else np.zeros((0, len(STATISTICS)))
             langs = np.array(b.column("language").to_pylist(), object)
-            terms = np.zeros_like(x)
+            terms, ways = np.zeros_like(x), np.zeros((len(x), len(FACETS)))
             for lang in set(langs):
-                terms[langs == lang] = shared.value.contributions(lang, x[langs == lang])
+                mine = langs == lang
+                terms[mine], ways[mine] = shared.value.contributions(lang, x[mine]), shared.value.facets(lang, x[mine])
             d2 = terms.sum(1)
-            shape = [shape_of(x[k], terms[k], limit) for k in range(len(x))]
+            shape = shape_of(d2 > limit, ways)
             maps = pa.MapArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(STATISTICS), pa.int32()), pa.array(list(STATISTICS) * len(x), pa.string()), pa.array(terms.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shape, pa.string()), pa.array(d2), pa.array(d2 > limit), maps], names=schema.names)
 

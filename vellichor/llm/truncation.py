@@ -4,20 +4,25 @@ Lengths of each source follow a log-normal law, right-censored at the limits
 of that source. A limit is a length that holds far more texts than the law
 allows; the law is fitted by maximum likelihood (expectation maximisation,
 censored lengths enter by their conditional moments), and the posterior that
-a text of that very length was cut is the share of the excess. Ending
-evidence comes from the last line: its kind, its punctuation, and whether
-its last word is one that ends units elsewhere in the collection. The log
-odds of both are added.
-
-Lengths and words are counted over all texts and pre-aggregated in the tasks;
-only limits and words above a least share reach the driver.
+a text of that very length was cut is the share of the excess.
+
+An ending is a kind (sentence, table row, item ...) and a state: left open,
+closed, or, where only the last word tells, how that word ends units elsewhere
+in the collection. How likely each state is for cut and for whole texts is
+fitted over all texts by expectation maximisation: texts at a limit come with
+its posterior, the others with a common rate of cuts, and both are revised by
+the endings found there. A text is cut if the posterior odds of the two
+together favour it.
+
+Lengths, words and endings are counted over all texts, pre-aggregated in the
+tasks. Words are looked up by joins; the driver sees limits, lengths in bins
+and one row for each state and limit.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +30,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellichor.llm.text_shape import _leaders
 from vellichor.plans.lineage import materialize
 
-WORD_SHARE = 1e-6
 LIMIT_SHARE = 0.008
 LIMIT_LEAST = 4
-PRIOR = math.log(0.07 / 0.93)
+#: Weight of a limit's censoring posterior, in texts, against the endings found at it.
+LIMIT_WEIGHT = 4.0
+#: Weight of the expected shares below, in texts, against the endings found.
+ENDING_WEIGHT = 5.0
+#: Expected share of cut texts away from any limit, before they are looked at.
+CUT_RATE = 0.05
+#: States of an ending with their expected shares among cut and among whole texts; the fit revises them.
+STATES = {
+    "open": (0.80, 0.005), "closed": (0.002, 0.90), "broken": (0.07, 0.0005), "never": (0.06, 0.0005), "seldom": (0.03, 0.002),
+    "unseen": (0.02, 0.02), "name": (0.007, 0.02), "some": (0.01, 0.03), "usual": (0.001, 0.05),
+}
+#: Occurrences at which a word's own rate of ending units outweighs that of all words.
+WORD_WEIGHT = 2.0
+#: States of words by the rate at which they end units.
+WORD_RATES = ((0.01, "never"), (0.03, "seldom"), (0.12, "some"))
 #: The key of sources too small to be fitted alone; no source has it, keys have no upper case.
 POOLED = "POOLED"
 
@@ -44,8 +63,6 @@ _DATED = re.compile(r"\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?Z?)?$")
 _DATE_LINE = re.compile(r"(?:Last (?:edited|modified|updated|changed)|Updated|Posted|Published|Created|Date|Retrieved|Stand|Zuletzt (?:bearbeitet|geändert))\b", re.IGNORECASE)
 _URL = re.compile(r"(?:https?://|www\.)\S+$")
 _URL_DONE = re.compile(r"\.(?:pdf|html?|md|txt|png|jpe?g|csv|json|docx?|xml|zip)[)\]>]?$|/[)\]>]?$|/[^/\s]{3,}\)$")
-_LEADERS = re.compile(r"\.{4,}\s*\d{1,4}$")
-_LEADERS_OPEN = re.compile(r"\.{4,}\s*$")
 _INDEX = re.compile(r"[^\W\d_][^,;|\t]{1,80}(?:,\s+\d{1,4}(?:[-–]\d{1,4})?)+$")
 _KEYWORDS = re.compile(r"(?:Keywords?|Schlagwörter|Mots[- ]clés|Palabras clave|Palavras[- ]chave|Tags|Index terms)\s*:", re.IGNORECASE)
 _PAGE = re.compile(r"(?:[\[(~–—-]\s*)?(?:(?:page|seite|p\.|s\.|página|pag\.)\s*)?(?:\d{1,4}|[ivxlc]{1,8})(?:\s*/\s*\d{1,4})?(?:\s*[\])~–—-])?", re.IGNORECASE)
@@ -63,28 +80,18 @@ def source_key(source: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(F.lower(F.regexp_replace(source, r"(?U)^\s+|\s+$", ""))), r"(?U)[\s_-]+", "_"), F.lit(""))
 
 
-class Words:
-    """Words above the least share: how often, and how often at the end of a unit."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        self.counts = counts
-        self.order = sorted(counts)
-
-    def end_odds(self, word: str) -> float:
-        """Log odds that a text cut off after ``word``, from how it ends units elsewhere."""
-        n, ends = self.counts.get(word, (0, 0))
-        if n >= 20:
-            share = (ends + 0.5) / (n + 1)
-            return 5.0 if share < 0.01 else 2.5 if share < 0.03 else -3.0 if share < 0.15 else -5.0
-        if n:
-            return -2.5 if ends else 0.5
-        k = bisect_right(self.order, word)
-        if k < len(self.order) and self.order[k].startswith(word):
-            return 5.0
-        return -1.5 if len(word) > 4 and word[0].isupper() else 1.5
+def _last_word(text: str) -> str | None:
+    """The word that a text stops with, if no punctuation stands after it."""
+    u = text.rstrip()
+    at = len(u)
+    while at and (u[at - 1].isalpha() or u[at - 1] in "-’'"):
+        at -= 1
+    found = _WORD.findall(u, at)
+    return found[-1] if found and u.endswith(found[-1]) else None
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of texts and how often they end a unit, but for what a text itself stops with."""
     words: Counter[str] = Counter()
     ends: Counter[str] = Counter()
 
@@ -97,14 +104,16 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text in b.column(0).to_pylist():
             words.update(_WORD.findall(text))
+            if last := _last_word(text):
+                words[last] -= 1
             # ends of units: before punctuation, and of marked lines; a wrapped line ends anywhere
             ends.update(_ENDING.findall(text))
             if "\n" in text:
-                for line in text.split("\n"):
+                for line in text.rstrip().split("\n")[:-1]:
                     if line[:2] in ("- ", "* ", "• ") or line[:1].isdigit() and _MARKER.match(line):
-                        tail = _WORD.findall(line[-80:])
-                        if tail and line.rstrip().endswith(tail[-1]):
-                            ends[tail[-1]] += 1
+                        tail = _last_word(line)
+                        if tail:
+                            ends[tail] += 1
             if len(words) > 300_000:
                 yield flush()
     yield flush()
@@ -115,15 +124,19 @@ def _balance(line: str) -> bool:
     return any(line.rfind(a) > line.rfind(z) for a, z in _BRACKETS.items())
 
 
-def ending(text: str, words: Words) -> tuple[float, str]:
-    """Log odds that a text was cut off, from its ending alone, and the kind of the ending."""
+def _state(is_open: bool) -> str:
+    return "open" if is_open else "closed"
+
+
+def ending(text: str) -> tuple[str, str]:
+    """The kind of a text's ending and its state: ``open``, ``closed``, or ``=`` and the word that tells."""
     u = text.rstrip()
     if not u:
-        return -20.0, "empty"
+        return "empty", "closed"
     if _OMITTED.search(u[-60:]):
-        return 9.0, "omission"
+        return "omission", "open"
     if sum(1 for s in u.split("\n") if s.lstrip().startswith("```")) % 2:
-        return 9.0, "open code"
+        return "open code", "open"
     lines = u.split("\n")
     # page furniture below the text says nothing
     while len(lines) > 1 and (len(lines[-1]) < 40 and _PAGE.fullmatch(lines[-1].strip()) or not lines[-1].strip() or len(lines[-1]) < 110 and _RUNNING.fullmatch(lines[-1].strip())):
@@ -132,78 +145,80 @@ def ending(text: str, words: Words) -> tuple[float, str]:
     before = lines[-2].strip() if len(lines) > 1 else ""
     ended = u[u.rfind("\n") + 1 :].strip()
     if _VALUE.fullmatch(ended) and "\n" in u and (_VALUE.fullmatch(u.split("\n")[-2].strip()) or re.search(r"\n(?:[-−–]?\d[\d.,]*|n\.d\.|–)\s*\n", u[-80:])):
-        return -8.0, "column"
+        return "column", "closed"
     if t.startswith("```"):
-        return -9.0, "code"
+        return "code", "closed"
     if t.startswith("|"):
         if not t.endswith("|") or len(t) < 2:
-            return 9.0, "table"
-        return (9.0 if before.startswith("|") and before.count("|") != t.count("|") else -9.0), "table"
+            return "table", "open"
+        return "table", _state(before.startswith("|") and before.count("|") != t.count("|"))
     if _DATE_LINE.match(t) and len(t) < 60:
-        return (-9.0 if _DATED.search(t) else 8.0), "date"
+        return "date", _state(not _DATED.search(t))
     if t.startswith("!["):
-        return (-9.0 if re.search(r"\]\([^()\s]+\)$", t) else 9.0), "image"
+        return "image", _state(not re.search(r"\]\([^()\s]+\)$", t))
     if m := _URL.search(t):
         done = bool(_URL_DONE.search(m.group())) or bool(_TERMINAL.search(t))
-        return (-7.0 if done else 5.0), "link"
+        return "link", _state(not done)
     if re.match(r"(?:Source|Quelle|URL|Link)\s*:?\s*$", t) or re.match(r"(?:Source|Quelle|URL|Link):\s", t):
-        return (6.0 if len(t) < 30 else -2.0), "link"
-    if _LEADERS.search(t[-200:]):
-        return -8.0, "contents"
-    if _LEADERS_OPEN.search(t[-200:]):
-        return 8.0, "contents"
+        return "link", _state(len(t) < 30)
+    if _leaders(t):
+        return "contents", "closed"
+    if t.endswith("...."):
+        return "contents", "open"
     for sep, cell in _CELL.items():
         if sep in t and (sep != ";" or re.search(r";\S", t) and ". " not in t):
             here, there = len(cell.split(t)), len(cell.split(before)) if sep in before else 0
             if there > 1:
-                return (-8.0 if here == there else 8.0), "columns"
+                return "columns", _state(here != there)
     for sep, cell in _CELL.items():
         # the first cells of a row below rows with more
         if sep in before and (sep != ";" or re.search(r";\S", before) and ". " not in before) and len(cell.split(before)) > 1 and len(t) < 40 and not _TERMINAL.search(t) and len(lines) > 2 and sep in lines[-3]:
-            return 8.0, "columns"
+            return "columns", "open"
     if _INDEX.fullmatch(t):
-        return -7.0, "index"
+        return "index", "closed"
     if re.fullmatch(r"[^\W\d_][^,;|\t.]{1,60}(?:,\s+\d{1,4})*,", t) and re.search(r"\d$", before):
-        return 7.0, "index"
+        return "index", "open"
     if _KEYWORDS.match(t):
         last = re.split(r"[:;,]\s*", t)[-1]
         ws = _WORD.findall(last)
-        return (words.end_odds(ws[-1]) if ws else 8.0), "keywords"
+        return "keywords", "=" + ws[-1] if ws else "open"
     if _REFERENCE.match(t) or (_REFERENCE.match(before) and len(lines) > 1 and not _TERMINAL.search(before)):
-        return (-8.0 if re.search(r"(?:\(\d{4}[a-z]?\)|\d{4}|\d)\.?$", t) and re.search(r"\(\d{4}[a-z]?\)\.?$", t) else 8.0), "reference"
+        return "reference", _state(not re.search(r"\(\d{4}[a-z]?\)\.?$", t))
     if t.startswith("#"):
         ws = _WORD.findall(t)
-        return (max(1.0, words.end_odds(ws[-1])) if ws else 6.0), "heading"
+        return "heading", "=" + ws[-1] if ws else "open"
     if (m := _MARKER.match(t)) and not _TERMINAL.search(t):
         ws = _WORD.findall(t[m.end() :])
         if not ws or t[-1] in ",-–(":
-            return 6.0, "item"
-        return (words.end_odds(ws[-1]) if not t[-1].isdigit() else -4.0), "item"
+            return "item", "open"
+        return "item", "closed" if t[-1].isdigit() else "=" + ws[-1]
     if m is not None and t.endswith(";"):
-        return -3.0, "item"
-    paragraph = " ".join(s.strip() for s in lines[-12:])
-    paragraph = paragraph[-600:]
+        return "item", "closed"
+    first = len(lines)
+    while first and lines[first - 1].strip():
+        first -= 1
+    paragraph = " ".join(s.strip() for s in lines[first:])
     if _TERMINAL.search(t):
         sentence = re.split(r"(?<=[^\s.][^\s.])[.!?][\"”’)\]]*\s+(?=[A-ZÀ-Þ“\"(])", paragraph)[-1]
         if _ABBREVIATED.search(t):
-            return 7.0, "abbreviation"
+            return "abbreviation", "open"
         if _ET_AL.search(t):
-            return (5.0 if len(sentence.split()) < 9 else -3.0), "et al"
+            return "et al", _state(len(sentence.split()) < 9)
         if re.search(r"(?:(?:^|\s)[a-zß-ɏ]+|±|–)\s[-−±]?\d{1,4}\.$", paragraph) and not _NUMBERED.search(paragraph):
-            return 5.0, "number"
+            return "number", "open"
         if re.search(r"(?:^|\s)[A-ZÀ-Þ]\.$", t) and _balance(sentence):
-            return 5.0, "initial"
+            return "initial", "open"
         if _balance(sentence) and not t.endswith((")", "”", "]")):
-            return 3.5, "open bracket"
-        return -9.0, "sentence"
+            return "open bracket", "open"
+        return "sentence", "closed"
     if t.endswith(":"):
-        return 3.0, "colon"
+        return "colon", "open"
     ws = _WORD.findall(t)
     if len(ws) <= 7 and len(lines) >= 3 and all(s.strip() and len(s.strip()) <= 60 and not _TERMINAL.search(s.strip()) for s in lines[-3:]) and not any(". " in s or ", " in s for s in lines[-4:]) and ws:
-        return words.end_odds(ws[-1]) - 1.0, "short lines"
+        return "short lines", "=" + ws[-1]
     if re.search(r"=.*\d$|[=<>≈]\s*\S+$", t):
-        return 5.0, "formula"
-    return 9.0, "prose"
+        return "formula", "open"
+    return "prose", "open"
 
 
 def _fit(counts: list[tuple[int, int]], limits: list[int]) -> dict[int, float]:
@@ -273,38 +288,100 @@ def limit_table(docs: DataFrame, source: str = "source_name", length: str = "n")
     return out, {r["s"] for r in large.collect()}
 
 
+def word_states(asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """(word, word_state) of each distinct word asked for; ``counted`` has word, n, ends of all words.
+
+    A word that only stands where texts stop is ``broken`` if it begins
+    another word, else a ``name`` or ``unseen``. All lookups are joins, hot
+    words are one row on both sides.
+    """
+    sums = counted.agg(F.sum("n").alias("all_n"), F.sum("ends").alias("all_ends"))
+    known = asked.select("word").distinct().join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("ends"))
+    # one row of sums
+    rate = (F.col("ends") + WORD_WEIGHT * F.coalesce(F.try_divide("all_ends", "all_n"), F.lit(0.0))) / (F.col("n") + WORD_WEIGHT)
+    state = F.lit("usual")
+    for bound, name in reversed(WORD_RATES):
+        state = F.when(rate < bound, name).otherwise(state)
+    placed = known.join(F.broadcast(sums)).select("word", "n", F.when(F.col("n") > 0, state).alias("word_state"))
+    new = placed.filter("n <= 0").select("word")
+    begins = counted.filter("n > 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda k: F.substring("word", F.lit(1), k))).alias("word")).join(new, "word", "left_semi").distinct().withColumn("begins", F.lit(True))
+    name = (F.length("word") > 4) & (F.substring("word", 1, 1) != F.lower(F.substring("word", 1, 1)))
+    return placed.join(begins, "word", "left").select("word", F.coalesce("word_state", F.when(F.col("begins"), "broken").when(name, "name").otherwise("unseen")).alias("word_state"))
+
+
+def fit_endings(counts: list[tuple[str, object, int]], posterior: dict[object, float], rounds: int = 50) -> tuple[dict[str, float], dict[object, float], float]:
+    """Log odds of each state, log prior odds of each limit, and of texts at none.
+
+    ``counts`` has (state, limit or None, texts), ``posterior`` the censoring
+    posterior of each limit. Expectation maximisation over cut and whole
+    texts. What STATES expects and the posteriors of the lengths count as a
+    few texts each, so that small collections stay near them.
+    """
+    of: Counter[str] = Counter()
+    size: Counter[object] = Counter()
+    for state, limit, n in counts:
+        of[state] += n
+        size[limit] += n
+    given, rate, prior = dict(STATES), CUT_RATE, dict(posterior)
+    inside = lambda x: min(1 - 1e-6, max(1e-6, x))
+    logit = lambda x: math.log(inside(x) / (1 - inside(x)))
+    for _ in range(rounds):
+        cut: Counter[str] = Counter()
+        at: Counter[object] = Counter()
+        for state, limit, n in counts:
+            a, b = given[state]
+            p = rate if limit is None else prior[limit]
+            r = p * a / (p * a + (1 - p) * b)
+            cut[state] += n * r
+            at[limit] += n * r
+        total, all_ = sum(cut.values()) + ENDING_WEIGHT, sum(of.values()) + 2 * ENDING_WEIGHT
+        given = {s: ((cut[s] + ENDING_WEIGHT * a) / total, (of[s] - cut[s] + ENDING_WEIGHT * b) / (all_ - total)) for s, (a, b) in STATES.items()}
+        prior = {k: inside((at[k] + LIMIT_WEIGHT * p) / (size[k] + LIMIT_WEIGHT)) for k, p in posterior.items()}
+        rate = inside((at[None] + ENDING_WEIGHT * CUT_RATE) / (size[None] + ENDING_WEIGHT))
+    return {s: math.log(a / b) for s, (a, b) in given.items()}, {k: logit(p) for k, p in prior.items()}, logit(rate)
+
+
 def truncated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", threshold: float = 0.0) -> DataFrame:
     """Every row with a text: log odds of truncation, and whether it is cut off.
 
     Columns: the row id, source_name (normalised, null stays null), n_chars,
-    ending (kind), ending_odds, limit_posterior, log_odds, is_cut. Null texts
-    give no row, empty ones are never cut. Repeated rows are judged each on
-    their own, alike.
+    ending (kind), state, ending_odds, limit_posterior (of the lengths alone),
+    log_odds, is_cut. Null texts give no row, empty ones are never cut.
+    Repeated rows are judged each on their own, alike.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("row_id"), source_key(F.col(source)).alias("source_name"), F.col(text).alias("t")).filter("t is not null")
     counted = docs.select("t").mapInArrow(_word_counts, "word string, n long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     counted = materialize(counted, "word-ends")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    words = {r["word"]: (r["n"], r["ends"]) for r in counted.filter(F.col("n") >= max(2.0, WORD_SHARE * total)).collect()}
-    limits, alone = limit_table(docs.select("source_name", F.length("t").alias("n")))
-    shared = df.sparkSession.sparkContext.broadcast((words, limits, alone))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Words(shared.value[0])
-        _, posts, own = shared.value
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                odds, kind = ending(t, lex)
-                p = posts.get((s if s in own else POOLED, len(t)), 0.0)
-                # a limit says nothing against a text of another length
-                both = odds + PRIOR + (math.log((p + 0.02) / (1.02 - p)) - PRIOR if p else 0.0)
-                rows.append((len(t), kind, odds, p, both, both > threshold))
-            c = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.bool_())], names=["row_id", "source_name", "n_chars", "ending", "ending_odds", "limit_posterior", "log_odds", "is_cut"])
-
-    out = docs.mapInArrow(run, "row_id long, source_name string, n_chars long, ending string, ending_odds double, limit_posterior double, log_odds double, is_cut boolean")
-    return out.withColumnRenamed("row_id", doc_id)
+            texts = b.column(2).to_pylist()
+            found = [ending(t) for t in texts]
+            words = [s[1:] if s[0] == "=" else None for _, s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([k for k, _ in found], pa.string()), pa.array([None if w else s for (_, s), w in zip(found, words, strict=True)], pa.string()), pa.array(words, pa.string())], names=["row_id", "source_name", "n", "kind", "state", "word"])
+
+    seen = materialize(docs.mapInArrow(look, "row_id long, source_name string, n long, kind string, state string, word string"), "endings")
+    limits, alone = limit_table(seen.select("source_name", "n"))
+    told = seen.filter("word is not null")
+    states = told.join(word_states(told, counted), "word", "left").select("row_id", "source_name", "n", "kind", F.col("word_state").alias("state"))
+    placed = seen.filter("word is null").select("row_id", "source_name", "n", "kind", "state").unionAll(states)
+    # limits are as few as their shares allow; sources fitted alone at most 10,000
+    own = spark.createDataFrame([(s, True) for s in alone], "own string, is_own boolean")
+    known = spark.createDataFrame([(s, n, float(p)) for (s, n), p in limits.items()], "limit_source string, limit_n long, limit_posterior double")
+    placed = placed.join(F.broadcast(own), F.col("source_name").eqNullSafe(F.col("own")), "left")
+    fitted_as = F.when(F.col("is_own"), F.col("source_name")).otherwise(POOLED)
+    placed = placed.withColumn("fitted_as", fitted_as).join(F.broadcast(known), F.col("fitted_as").eqNullSafe(F.col("limit_source")) & (F.col("n") == F.col("limit_n")), "left")
+    placed = materialize(placed.select("row_id", "source_name", "n", "kind", "state", "limit_source", "limit_n", "limit_posterior"), "placed-endings")
+    # a row for each state and limit
+    table = placed.filter("kind <> 'empty'").groupBy("state", "limit_source", "limit_n", "limit_posterior").agg(F.count(F.lit(1)).alias("c")).collect()
+    key = lambda r: None if r["limit_posterior"] is None else (r["limit_source"], r["limit_n"])
+    odds, prior, rate = fit_endings([(r["state"], key(r), r["c"]) for r in table], {key(r): r["limit_posterior"] for r in table if key(r)})
+    by_state = spark.createDataFrame(list(odds.items()), "state string, ending_odds double")
+    by_limit = spark.createDataFrame([(*k, v) for k, v in prior.items()], "limit_source string, limit_n long, prior double")
+    judged = placed.join(F.broadcast(by_state), "state", "left").alias("a").join(F.broadcast(by_limit.alias("b")), F.expr("a.limit_n = b.limit_n and a.limit_source <=> b.limit_source"), "left")
+    both = F.when(F.col("kind") == "empty", F.lit(-20.0)).otherwise(F.col("ending_odds") + F.coalesce("prior", F.lit(rate)))
+    return judged.select(F.col("row_id").alias(doc_id), "source_name", F.col("n").alias("n_chars"), F.col("kind").alias("ending"), "state", F.coalesce("ending_odds", F.lit(0.0)).alias("ending_odds"), F.coalesce("limit_posterior", F.lit(0.0)).alias("limit_posterior"), both.alias("log_odds"), (both > threshold).alias("is_cut"))
 
 
 def truncation_by_source(judged: DataFrame) -> DataFrame:

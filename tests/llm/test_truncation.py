@@ -46,11 +46,11 @@ def test_the_censoring_posterior_moves_verdicts(spark, monkeypatch):
     rows += [(400 + k, full + unit, "s") for k in range(20)]
     item = "- at the old mark"
     rows += [(700, ("It is so. " * 30)[: 200 - len(item) - 2] + ".\n" + item, "s")]
-    rows += [(701, rows[-1][1].replace("so.", "so so.", 1), "s")]
+    rows += [(701 + k, "It is so. " * (3 + k) + "\n" + item, "s") for k in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in truncated(df).collect()}
     assert got[700].state == got[701].state == "some" and got[700].n_chars == 200
-    assert got[700].is_cut and not got[701].is_cut
+    assert got[700].is_cut and not any(got[701 + k].is_cut for k in range(10))
     monkeypatch.setattr(truncation, "limit_table", lambda *_: ({}, {"s"}))
     without = {r.doc_id: r for r in truncated(df).collect()}
     assert not without[700].is_cut

@@ -40,7 +40,7 @@ def test_the_censoring_posterior_moves_verdicts(spark, monkeypatch):
     from vellichor.llm import truncation
 
     full = "The rate of the basin was kept at the site and seen by all of them."
-    rows = [(k, (full * 9)[:200], "s") for k in range(40)] + [(50 + k, full * (1 + k % 5), "s") for k in range(300)]
+    rows = [(k, (full * 9)[:200], "s") for k in range(40)] + [(50 + k, f"The r{'o' * k}te. " + full * (1 + k % 3), "s") for k in range(300)]
     # an item that stops at a word which now and then ends units; 700 at the limit, 701 not
     unit = " A mark of it is here." * 15 + " This is a mark."
     rows += [(400 + k, full + unit, "s") for k in range(20)]

@@ -37,6 +37,8 @@ LIMIT_SHARE = 0.008
 LIMIT_LEAST = 4
 #: Weight of a limit's censoring posterior, in texts, against the endings found at it.
 LIMIT_WEIGHT = 4.0
+#: How likely an excess of texts at one length comes of cutting: copies, and texts made to a length, give one too.
+EXCESS_CUT = 0.9
 #: Weight of the expected shares below, in texts, against the endings found.
 ENDING_WEIGHT = 5.0
 #: Expected share of cut texts away from any limit, before they are looked at.
@@ -322,6 +324,7 @@ def fit_endings(counts: list[tuple[str, object, int]], posterior: dict[object, f
     for state, limit, n in counts:
         of[state] += n
         size[limit] += n
+    posterior = {k: EXCESS_CUT * p for k, p in posterior.items()}
     given, rate, prior = dict(STATES), CUT_RATE, dict(posterior)
     inside = lambda x: min(1 - 1e-6, max(1e-6, x))
     logit = lambda x: math.log(inside(x) / (1 - inside(x)))
@@ -335,6 +338,8 @@ def fit_endings(counts: list[tuple[str, object, int]], posterior: dict[object, f
             cut[state] += n * r
             at[limit] += n * r
         total, all_ = sum(cut.values()) + ENDING_WEIGHT, sum(of.values()) + 2 * ENDING_WEIGHT
+        # a text that stops where a unit ends is no case, however likely cutting did it: that share is not learned
+        cut["closed"] = (total - ENDING_WEIGHT) * STATES["closed"][0]
         given = {s: ((cut[s] + ENDING_WEIGHT * a) / total, (of[s] - cut[s] + ENDING_WEIGHT * b) / (all_ - total)) for s, (a, b) in STATES.items()}
         prior = {k: inside((at[k] + LIMIT_WEIGHT * p) / (size[k] + LIMIT_WEIGHT)) for k, p in posterior.items()}
         rate = inside((at[None] + ENDING_WEIGHT * CUT_RATE) / (size[None] + ENDING_WEIGHT))

@@ -1,4 +1,4 @@
-from vellichor.llm.scan_repair import Lexicon, analyse, broken, candidates, label_lines, learn, scan_noise
+from vellichor.llm.scan_repair import Chain, Lexicon, analyse, broken, candidates, label_pieces, learn, looks, scan_noise
 
 BODY = "The sample of the wall was kept and the rate of the loss was measured by the team"
 CLEAN = [f"{BODY} in run {k}. What masks the resonance frequency here is the toughness of the thin-film stack." for k in range(400)]
@@ -28,19 +28,50 @@ def test_empty_table(spark):
     assert scan_noise(df, learn(df), "seq").collect() == []
 
 
-LEX = Lexicon({"thin-film": (9, 0), "resonance": (50, 0), "thin": (40, 0), "film": (40, 0), "the": (500, 0)}, {"chapter notes and tables": 40}, 5000, 50, 100)
+WORDS = {"thin-film": (9, 0, 0), "resonance": (50, 0, 0), "thin": (40, 0, 0), "film": (40, 0, 0), "the": (500, 0, 0), "annals": (30, 0, 20), "structure": (60, 0, 20), "soil": (50, 0, 20), "chapter": (40, 0, 30)}
+LEX = Lexicon(WORDS, 5000, 50)
 
 
 def test_compounds_stay():
     assert not broken("thin", "-", "film", LEX) and broken("reson", "-", "ance", LEX) and broken("thin", "\xad", "film", LEX)
 
 
+def labels(lines, lexicon=LEX, recurring=None):
+    out = [0] * len(lines)
+    for k, _, _, state in label_pieces(lines, lexicon, recurring):
+        out[k] = state
+    return out
+
+
 def test_headers_and_ordinary_lines():
-    lines = ["It was kept at the wall of the", "Chapter notes and tables 12", "first room and then it was", "moved to the last of them."]
-    assert label_lines(lines, LEX) == [0, 1, 0, 0]
+    lines = ["It was kept at the wall of the", "Chapter Notes and Tables 12", "first room and then it was", "moved to the last of them."]
+    assert labels(lines) == [0, 1, 0, 0]
     lines[1] = "Annals of Soil Structure (Ziaburg) 14"
-    assert label_lines(lines, LEX) == [0, 1, 0, 0]
-    assert label_lines(["A wrapped line of the text and", "a second one of the same"], LEX) == [0, 0]
+    assert labels(lines) == [0, 1, 0, 0]
+    lines[1] = "- 14 -"
+    assert labels(lines) == [0, 2, 0, 0]
+    assert labels(["A wrapped line of the text and", "a second one of the same"]) == [0, 0]
+
+
+def test_looks():
+    kinds = {"12": "n", "- iv -": "n", "A N N A L S of it": "s", "Smith et al. / On walls": "d", "ANNALS OF SOIL": "u", "Soil and Water": "t", "Soil notes": "f", "It is so.": "o", "E = m c": "o", "sentence goes on": "o", "c": "o", "One, Two": "o"}
+    assert {t: looks(t) for t in kinds} == kinds
+
+
+def test_the_fitted_chain_decides(spark):
+    # a page number follows every header; a number below ordinary capitals is none
+    body = "It was kept at the wall of the"
+    rows = [(k, f"{body}\nNotes of Brimhold\n{k % 90}\nfirst room and then it was moved.") for k in range(60)]
+    rows += [(100 + k, f"It was kept at the wall of room {k}.\nThe End\nIt was moved to the last of them then.") for k in range(60)]
+    df = spark.createDataFrame(rows, "seq long, text string")
+    lex = learn(df)
+    assert labels([body, "Notes of Brimhold", "12", "first room."], lex)[1:3] == [1, 2] and labels(["It was kept.", "The End", "It was moved."], lex) == [0, 0, 0]
+    assert lex.chain.move[1][2] > 0.5 > Chain.MOVE[1][2]
+    # with moves that nothing was learned from, a line that is neither alone is body
+    same, lone = Lexicon(lex.words, lex.total, lex.noisy_total, Chain(lex.chain.start, ((1 / 3,) * 3,) * 3, lex.chain.emit)), ["It was kept.", "12", "It was moved."]
+    found = {(k, x) for k, t in enumerate([r[1] for r in rows]) for x in [tuple(labels(t.split("\n"), lex))]}
+    plain = {(k, x) for k, t in enumerate([r[1] for r in rows]) for x in [tuple(labels(t.split("\n"), same))]}
+    assert found != plain or labels(lone, lex) != labels(lone, same)
 
 
 def test_inline_header():
@@ -56,8 +87,6 @@ def test_header_of_one_document_counts_in_any_collection(spark):
     rows += [(k, "It was kept at the wall of the\nOrdinary Capital Line\nfirst room and then it was", "b", "p0") for k in (10, 11)]
     df = spark.createDataFrame(rows, "seq long, text string, doc string, part string")
     lex = learn(df, "text", "doc", "part")
-    # the rest of a large collection
-    lex.line_total = 10**7
     got = {r.row_key for r in scan_noise(df, lex, "seq", document="doc").filter("noise = 'furniture'").collect()}
     assert {0, 1, 2} <= got and not {10, 11} & got
     assert not {0, 1, 2} & {r.row_key for r in scan_noise(df, lex, "seq").filter("noise = 'furniture'").collect()}

@@ -30,8 +30,8 @@ def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scanned(spark: SparkSession, sf: str, repair: bool) -> DataFrame:
     chunks = _t(spark, sf, "kg_chunks")
-    # tables, formulas and captions are laid out, not running text
-    blocks = _t(spark, sf, "extraction_blocks").filter("block_type is null or lower(trim(block_type)) not in ('table', 'formula')")
+    # the type of a block is as dirty as the rest: its text tells whether it is laid out
+    blocks = _t(spark, sf, "extraction_blocks")
     # a chunk and a block of the same page are not a recurrence
     chunk_of, block_of = F.concat(F.lit("kg_chunks:"), "doc_id"), F.concat(F.lit("extraction_blocks:"), "path")
     placed = chunks.select("text", chunk_of.alias("document"), F.col("id").cast("string").alias("part")).unionAll(blocks.select("text", block_of, F.col("block_id").cast("string")))

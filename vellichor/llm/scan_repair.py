@@ -40,6 +40,8 @@ RATIO = 12.0
 ENRICHED = 3.0
 #: Share of a word's places that lie in lines that may be headers, from which it counts as usual there: somewhat, surely.
 HEADER_SHARES = (0.1, 0.3)
+#: Places in running text that every word is given beforehand, so that rare words count little.
+HEADER_WEIGHT = 8
 #: Rounds of the Baum-Welch fit, and the weight of its first guess, in lines a state.
 ROUNDS = 8
 GUESS_WEIGHT = 20.0
@@ -218,7 +220,7 @@ class Lexicon:
         self._good = GOOD_SHARE * self.total
         self._seen: dict[str, str | None] = {}
         some, sure = HEADER_SHARES
-        self.heads = {w: 2 if h >= sure * n else 1 for w, (n, _, h) in words.items() if h >= some * n and len(w) > 3}
+        self.heads = {w: 2 if h >= sure * (n + HEADER_WEIGHT) else 1 for w, (n, _, h) in words.items() if h >= some * (n + HEADER_WEIGHT) and len(w) > 3}
         self._sure = frozenset(f(w) for w, v in self.heads.items() if v == 2 for f in (str.capitalize, str.upper))
 
     def lexical(self, line: str) -> int:

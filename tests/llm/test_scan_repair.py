@@ -83,10 +83,10 @@ def test_inline_header():
 
 def test_header_of_one_document_counts_in_any_collection(spark):
     head = "Brimhold Chapter Notes"
-    # not within a sentence: only that it comes again tells such a line
+    # not within a sentence, and titles are usual: only that it comes again tells such a line
     rows = [(k, f"{head} {k}\nIt was moved to the first room then.", "a", f"p{k}") for k in range(3)]
     rows += [(k, "Ordinary Capital Line\nIt was moved to the first room then.", "b", "p0") for k in (10, 11)]
-    rows += [(20 + k, f"It was kept at the wall.\nIt was moved to room {k} then.", "c", f"p{k}") for k in range(40)]
+    rows += [(20 + k, f"{'ABCDEFGHIJ'[k % 10]}{'mnop'[k // 10]}orn Hall\nIt was moved to room {k} then.", "c", f"p{k}") for k in range(40)]
     df = spark.createDataFrame(rows, "seq long, text string, doc string, part string")
     lex = learn(df, "text", "doc", "part")
     got = {r.row_key for r in scan_noise(df, lex, "seq", document="doc").filter("noise = 'furniture'").collect()}

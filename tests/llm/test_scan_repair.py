@@ -82,16 +82,16 @@ def test_inline_header():
 
 
 def test_header_of_one_document_counts_in_any_collection(spark):
-    head = "Brimhold Chapter Notes"
-    # not within a sentence, and titles are usual: only that it comes again tells such a line
-    rows = [(k, f"{head} {k}\nIt was moved to the first room then.", "a", f"p{k}") for k in range(3)]
+    rows = [(k, f"Brimhold Wall Notes {k}\nIt was moved to the first room then.", "a", f"p{k}") for k in range(3)]
     rows += [(k, "Ordinary Capital Line\nIt was moved to the first room then.", "b", "p0") for k in (10, 11)]
-    rows += [(20 + k, f"{'ABCDEFGHIJ'[k % 10]}{'mnop'[k // 10]}orn Hall\nIt was moved to room {k} then.", "c", f"p{k}") for k in range(40)]
-    df = spark.createDataFrame(rows, "seq long, text string, doc string, part string")
-    lex = learn(df, "text", "doc", "part")
-    got = {r.row_key for r in scan_noise(df, lex, "seq", document="doc").filter("noise = 'furniture'").collect()}
-    assert {0, 1, 2} <= got and not {10, 11} & got
-    assert not {0, 1, 2} & {r.row_key for r in scan_noise(df, lex, "seq").filter("noise = 'furniture'").collect()}
+    lex = learn(spark.createDataFrame(rows, "seq long, text string, doc string, part string"), "text", "doc", "part")
+    again = {r.document: dict(r.lines) for r in lex.recurring.collect()}
+    # repeated deliveries of one part are no recurrence
+    assert again == {"a": {"brimhold wall notes": 3}}
+    # the same line in the same chain, whatever the size of the collection
+    for words in (WORDS, {w: (1000 * n, 0, 1000 * h) for w, (n, _, h) in WORDS.items()}):
+        lines = ["Brimhold Wall Notes 2", "It was moved to the first room then."]
+        assert labels(lines, Lexicon(words, 10**7, 50), again["a"]) == [1, 0] and labels(lines, Lexicon(words, 10**7, 50)) == [0, 0]
 
 
 def test_candidates_are_bounded():

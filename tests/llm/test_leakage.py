@@ -52,9 +52,31 @@ def test_words():
     assert words_of("<i>Café</i> [link](http://x) res-\nult [3, 4] 2.5 ﬁn **bold**ed") == ["cafe", "link", "result", "2", "5", "fin", "bolded"]
 
 
-def test_bound_covers_thresholds():
+def test_bounds_and_pivots():
     ix = Index(ITEMS)
-    assert (ix.block_low <= ix.low.min(1)).all() and (ix.block_max >= ix.weights.max(2) - 1e-6).all()
+    assert (ix.block_low <= ix.low.min(1)).all() and (ix.block_max >= ix.weights.max(1) - 1e-6).all()
+    # what is no pivot of a segment stays below its threshold
+    for k in range(ix.n):
+        lo, hi = ix.block_start[k // 8], ix.block_start[k // 8 + 1]
+        own = {int(t): float(w) for t, w in zip(ix.block_term[lo:hi], ix.weights[lo:hi, k % 8], strict=True) if w}
+        assert set(own) == set(ix.words[k].tolist())
+        leads = {t for t in own if k // 8 in ix.lead_block[ix.lead_start[t] : ix.lead_start[t + 1]]}
+        assert sum(w for t, w in own.items() if t not in leads) < ix.threshold[k]
+
+
+def test_index_grows_with_the_words_only():
+    many = [(k, " ".join(random.choices(VOCAB, k=40))) for k in range(600)]
+    assert Index(many).nbytes <= 11 * Index(many[:60]).nbytes
+
+
+def test_more_items_than_one_index_holds(spark, monkeypatch):
+    from vellichor.llm import leakage
+
+    docs = spark.createDataFrame([(k, p) for k, p in ITEMS[:9]], "doc_id long, text string")
+    e = spark.createDataFrame(ITEMS, "item_id long, passage string")
+    one = sorted(map(tuple, leaks(docs, e).collect()))
+    monkeypatch.setattr(leakage, "MAX_INDEX_BYTES", 20 * 40 * leakage.WORD_BYTES)
+    assert sorted(map(tuple, leaks(docs, e).collect())) == one and len(one) >= 9
 
 
 def test_long_document(spark):

@@ -62,3 +62,25 @@ def test_increments_equal_a_recount(spark):
 def test_tied_versions_take_one_content(spark):
     df = spark.createDataFrame(rows((1, "a", ["p"], None), (1, "a", ["q"], None)), SCHEMA)
     assert [x["term_value"] for x in record_versions(df, ["terms", "citations"]).first().content] == ["q"]
+
+
+def test_a_store_opened_again_goes_on(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    TermCountStore(spark, ["terms", "citations"], path, buckets=8).apply(spark.createDataFrame(rows((1, "a", ["p"], ["c"]), (2, "b", ["p", "q"], None)), SCHEMA))
+    again = TermCountStore(spark, ["terms", "citations"], path)
+    assert (again.generation, again.buckets) == (1, 8) and counts(again) == {("terms", "p"): (2, 2), ("terms", "q"): (1, 1), ("citations", "c"): (1, 1)}
+    held = {t: dict(m) for t, m in again._held.items()}
+    again.apply(spark.createDataFrame(rows((3, "b", ["q"], None)), SCHEMA))
+    # only the buckets of b and of p were written again
+    assert sum(g == 2 for g in again._held["records"].values()) == 1 and sum(g == 2 for g in again._held["counts"].values()) == 1
+    assert all(again._held[t][k] in (g, 2) for t, m in held.items() for k, g in m.items())
+    # a batch that died before its manifest was written counts for nothing
+    (tmp_path / "store" / "g3" / "counts").mkdir(parents=True)
+    last = TermCountStore(spark, ["terms", "citations"], path)
+    assert last.generation == 2 and counts(last) == {("terms", "p"): (1, 1), ("terms", "q"): (1, 1), ("citations", "c"): (1, 1)}
+
+
+def test_deliveries_do_not_matter(spark):
+    df = spark.createDataFrame(rows((1, "a", ["p", "q"], ["c"]), (2, "b", ["q"], None), (8, "a", ["q"], None), (9, "c", ["r"], ["c"]), (10, "b", None, None)), SCHEMA)
+    one, two, many = ({tuple(r) for r in term_marks(df, deliveries=n).collect()} for n in (1, 2, 5))
+    assert one == two == many and ("terms", "p", 1, 1, "rare") not in one

@@ -33,6 +33,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 512
 SHARD_TOKENS = 5_000_000
+#: The most shards of all sources of the targets. Beyond MAX_SHARDS x SHARD_TOKENS tokens (41 billion) shards grow instead;
+#: a shard is one window partition of (id, tokens) rows, without texts.
 MAX_SHARDS = 8192
 SEED = 17
 
@@ -58,19 +60,15 @@ def _sizer(path: str):
 
 
 def _long(encode, text: str) -> int:
-    """Tokens of a very long text, in pieces cut before spaces, which never lie within a token."""
-    n, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + 50_000)
-        if end < len(text):
-            cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            # a cut inside a run of white space would split it
-            while cut > at and text[cut - 1].isspace():
-                cut -= 1
-            end = cut if cut > at else end
-        n += len(encode(text[at:end]))
-        at = end
-    return n
+    """Tokens of a very long text, summed over what its pattern splits: merges never cross these pieces."""
+    return sum(len(encode(m.group())) for m in _pieces().finditer(text))
+
+
+@lru_cache(maxsize=1)
+def _pieces():
+    import regex
+
+    return regex.compile(SPLIT_PATTERN)
 
 
 def sainte_lague(weights: np.ndarray, total: int, caps: np.ndarray) -> np.ndarray:

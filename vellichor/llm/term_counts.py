@@ -1,11 +1,15 @@
 """Counts of every distinct value, kept up to date by signed deltas.
 
-A store holds two tables: the record versions it has counted, and one row per
-value with its occurrences and records, partitioned by a hash bucket of the
-value. A batch of deliveries is compared with the stored versions; added
-records give positive deltas, deleted ones negative deltas, changed ones both.
-Deltas are summed map-side before they are shuffled, then merged into the
-counts, so a value that is in every record costs one row per task.
+A store is a folder with two tables: the record versions it has counted, and
+one row per value with its occurrences and records, both partitioned by a hash
+bucket of their key. A batch of deliveries is compared with the stored
+versions of its buckets; added records give positive deltas, deleted ones
+negative deltas, changed ones both. Deltas are summed map-side before they are
+shuffled, then merged into the buckets of counts that they concern, so a value
+that is in every record costs one row per task, and a small batch rewrites
+little. A manifest says which generation holds each bucket; it is written
+last, so a batch that dies leaves the old counts whole, and a store opened
+again goes on where it was.
 """
 
 from __future__ import annotations
@@ -109,28 +113,56 @@ def signed_deltas(before: DataFrame | None, after: DataFrame) -> DataFrame:
     return d.groupBy("field_name", "term_value").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).filter("occurrences <> 0 or records <> 0")
 
 
+def _load(spark: SparkSession, schema: T.StructType, *paths: str) -> DataFrame:
+    """The tables of some folders without the bucket that the folders name."""
+    return spark.read.schema(schema).parquet(*paths).select(*schema.names)
+
+
+def _by_bucket(df: DataFrame, buckets: int, *key: str) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+
+
 class TermCountStore:
-    """Persistent, partitioned counts below one folder.
+    """Persistent, partitioned counts below one folder, which may hold a store already.
 
-    Every ``apply`` writes a new generation beside the old one and only then
-    moves on, so a batch that dies leaves the old counts whole.
+    ``buckets`` holds for a new store only.
     """
 
     def __init__(self, spark: SparkSession, fields: Sequence[str], path: str | None = None, buckets: int = 16):
-        self.spark, self.fields, self.buckets = spark, tuple(fields), buckets
+        self.spark, self.fields = spark, tuple(fields)
         self.path = path or scratch_dir(spark, "term-counts")
-        self.generation = 0
-
-    def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        if not self.generation:
+        self.generation, self.buckets = 0, buckets
+        self._held: dict[str, dict[int, int]] = {"records": {}, "counts": {}}
+        if path:
+            self._open()
+
+    def _open(self) -> None:
+        """Finds the last generation whose manifest is complete."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return
+        done = [int(f.getPath().getName()[1:]) for f in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        if done:
+            self.generation = max(done)
+            # one row a bucket and table
+            for r in self.spark.read.parquet(f"{self.path}/manifest/g{self.generation}").collect():
+                self.buckets = r["buckets"]
+                if r["bucket"] >= 0:
+                    self._held[r["table"]][r["bucket"]] = r["generation"]
+
+    def _read(self, table: str, schema: T.StructType, buckets: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/g{g}/{table}/bucket={k}" for k, g in sorted(self._held[table].items()) if buckets is None or k in buckets]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/g{self.generation}/{table}")
+        return _load(self.spark, schema, *paths)
 
     def records(self) -> DataFrame:
         return self._read("records", RECORD_SCHEMA)
 
     def counts(self) -> DataFrame:
-        return self._read("counts", COUNT_SCHEMA).select(*COUNT_SCHEMA.names)
+        return self._read("counts", COUNT_SCHEMA)
 
     def apply(self, delivered: DataFrame | None = None, deleted_keys: DataFrame | None = None, key: str = "id", version: str = "seq") -> TermCountStore:
         """Counts a batch: deliveries (added or changed records) and deletions.
@@ -138,30 +170,56 @@ class TermCountStore:
         A delivery older than the stored version of its record is ignored.
         ``deleted_keys`` has one column, the record keys to remove.
         """
-        first = not self.generation
-        old = self.records()
-        new = self.spark.createDataFrame([], RECORD_SCHEMA) if delivered is None else record_versions(delivered, self.fields, key, version)
-        into = f"{self.path}/g{self.generation + 1}"
-        if first:
-            new.write.mode("overwrite").parquet(f"{into}/records")
-            deltas = signed_deltas(None, self.spark.read.schema(RECORD_SCHEMA).parquet(f"{into}/records"))
-            merged = deltas
+        spark, into = self.spark, f"{self.path}/g{self.generation + 1}"
+        new = spark.createDataFrame([], RECORD_SCHEMA) if delivered is None else record_versions(delivered, self.fields, key, version)
+        touched = self._write(new, f"{into}/fresh" if self.generation else f"{into}/records", "record_key")
+        if not self.generation:
+            after, before = _load(self.spark, RECORD_SCHEMA, f"{into}/records") if touched else new, None
+            deltas = signed_deltas(None, after)
+            held = touched
+        else:
+            fresh = _load(self.spark, RECORD_SCHEMA, f"{into}/fresh") if touched else new
+            gone = spark.createDataFrame([], "record_key string") if deleted_keys is None else deleted_keys.select(F.col(deleted_keys.columns[0]).cast("string").alias("record_key")).filter("record_key is not null").distinct()
+            held = touched | {r[0] for r in _by_bucket(gone, self.buckets, "record_key").select("bucket").distinct().collect()}
+            old = self._read("records", RECORD_SCHEMA, held)
+            # one row a record of the buckets concerned: what was stored, and what holds from now on
+            both = old.select("record_key", F.struct("version", "content").alias("was")).join(fresh.select("record_key", F.struct("version", "content").alias("came")), "record_key", "full").join(gone.withColumn("gone", F.lit(True)), "record_key", "left")
+            newer = F.col("came").isNotNull() & (F.col("was").isNull() | (F.col("came.version") >= F.coalesce("was.version", F.lit(-(2**63)))))
+            merged = both.select("record_key", "was", F.when(F.col("gone").isNull(), F.when(newer, F.col("came")).otherwise(F.col("was"))).alias("now"), (newer | F.col("gone").isNotNull()).alias("changed"))
+            self._write(merged, f"{into}/merged", "record_key")
+            merged = _load(self.spark, merged.schema, f"{into}/merged")
+            self._write(merged.filter("now is not null").select("record_key", "now.version", "now.content"), f"{into}/records", "record_key")
+            changed = merged.filter("changed")
+            before, after = changed.filter("was is not null").select("record_key", "was.version", "was.content"), changed.filter("now is not null").select("record_key", "now.version", "now.content")
+            deltas = signed_deltas(before, after)
+        terms = self._write(deltas, f"{into}/deltas" if self.generation else f"{into}/counts", "field_name", "term_value")
+        if self.generation and terms:
+            deltas = _load(self.spark, COUNT_SCHEMA, f"{into}/deltas")
+            sums = self._read("counts", COUNT_SCHEMA, terms).unionByName(deltas).groupBy("field_name", "term_value").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).filter("records > 0")
+            kept = self._write(sums, f"{into}/counts", "field_name", "term_value")
         else:
-            gone = None if deleted_keys is None else deleted_keys.select(F.col(deleted_keys.columns[0]).cast("string").alias("record_key")).distinct()
-            fresh = new.alias("n").join(old.select("record_key", F.col("version").alias("had")).alias("o"), "record_key", "left").filter("had is null or version >= had").select("record_key", "version", "content")
-            fresh.write.mode("overwrite").parquet(f"{into}/fresh")
-            fresh = self.spark.read.schema(RECORD_SCHEMA).parquet(f"{into}/fresh")
-            touched = fresh.select("record_key") if gone is None else fresh.select("record_key").union(gone).distinct()
-            kept = old.join(touched, "record_key", "left_anti")
-            after = fresh if gone is None else fresh.join(gone, "record_key", "left_anti")
-            kept.unionByName(after).write.mode("overwrite").parquet(f"{into}/records")
-            deltas = signed_deltas(old.join(touched, "record_key", "left_semi"), after)
-            merged = self.counts().unionByName(deltas).groupBy("field_name", "term_value").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).filter("records > 0")
-        bucket = F.pmod(F.xxhash64("field_name", "term_value"), F.lit(self.buckets)).cast("int")
-        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{into}/counts")
+            kept = terms
         self.generation += 1
+        here = held if self.generation == 1 else self._buckets_of(f"{into}/records")
+        for table, concerned, written in (("records", held, here), ("counts", terms, kept)):
+            for k in concerned:
+                self._held[table].pop(k, None)
+            self._held[table].update(dict.fromkeys(written, self.generation))
+        rows = [(t, k, g, self.buckets) for t, m in self._held.items() for k, g in m.items()] or [("records", -1, self.generation, self.buckets)]
+        spark.createDataFrame(rows, "table string, bucket int, generation int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/g{self.generation}")
         return self
 
+    def _write(self, df: DataFrame, path: str, *key: str) -> set[int]:
+        """Writes by bucket; the buckets that have rows."""
+        _by_bucket(df, self.buckets, *key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return self._buckets_of(path)
+
+    def _buckets_of(self, path: str) -> set[int]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
+
     def marked(self, rare_max: int = RARE_MAX_RECORDS, common_share: float = COMMON_SHARE) -> DataFrame:
         """The counts with ``mark``: ``rare``, ``common`` or null."""
         total = self.records().agg(F.count(F.lit(1)).alias("total"))
@@ -169,6 +227,18 @@ class TermCountStore:
         return self.counts().join(F.broadcast(total)).select("field_name", "term_value", "occurrences", "records", mark.alias("mark"))
 
 
-def term_marks(df: DataFrame, fields: Sequence[str] = ("terms", "citations"), **kw) -> DataFrame:
-    """Counts and marks of a whole table, as a first batch into a new store."""
-    return TermCountStore(df.sparkSession, fields).apply(df, **kw).marked()
+def term_marks(df: DataFrame, fields: Sequence[str] = ("terms", "citations"), version: str = "seq", deliveries: int = 2, **kw) -> DataFrame:
+    """Counts and marks of a whole table, taken into a new store in deliveries by version, as they came.
+
+    Records that come again in a later delivery are changes: what they held
+    before is taken off. The result doesn't depend on the number of deliveries.
+    """
+    store = TermCountStore(df.sparkSession, fields)
+    low, high = df.agg(F.min(version), F.max(version)).first()
+    if low is None or deliveries < 2:
+        return store.apply(df, version=version, **kw).marked()
+    # rows without a version come with the first
+    at = F.least(F.lit(deliveries - 1), F.coalesce(F.floor((F.col(version) - low) * deliveries / max(1, high - low)), F.lit(0)))
+    for k in range(deliveries):
+        store.apply(df.filter(at == k), version=version, **kw)
+    return store.marked()

@@ -85,7 +85,7 @@ def test_graph(spark):
     c = graph.latest_chunks(chunk_rows(spark)).filter("terms is not null")
     docs = spark.createDataFrame([(f"d{k}", f"Title {k}", f"p{k}.md") for k in range(4)], "doc_id string, title string, path string")
     n = {r.type: r["count"] for r in graph.nodes(docs, c).groupBy("type").count().collect()}
-    assert n == {"document": 4, "chunk": 7, "heading": 4, "term": 10, "citation": 1, "external_link": 1}
+    assert n == {"document": 4, "chunk": 7, "heading": 4, "term": 10, "citation": 1, "external_link": 1, "community": 3}
     e = {r.type: r.w for r in graph.edges(c).groupBy("type").agg(F.sum("weight").alias("w")).collect()}
     assert e["contains"] == 7 and e["mentions"] == 56 and e["cites"] == 7
     assert graph.similar_documents(c).count() == 6
@@ -143,11 +143,31 @@ def test_structure(spark):
 def test_cleanup(spark):
     t = "#\n**Abstract:** text\r\nPage 3 of 9\nmech-\nanical [1][,][2] https://doi. org/x\n3 TBA\nDownload date 1"
     df = spark.createDataFrame([("a", t)], "k string, body string")
-    assert df.select(cleanup.clean_document("body").alias("r")).first().r == "## Abstract\n\ntext\nmech-anical [1, 2] https://doi.org/x"
+    assert df.select(cleanup.clean_document("body").alias("r")).first().r == "## Abstract\n\ntext\nmechanical [1, 2] https://doi.org/x"
     d = spark.createDataFrame([("a", "A long line of some text\n\nA long line of some text\nshort\nshort")], "k string, body string")
     assert [r.line for r in cleanup.adjacent_duplicates(d, "k", "body").collect()] == [3]
 
 
+def test_cleanup_passes(spark):
+    def run(f, t):
+        return spark.createDataFrame([(t,)], "t string").select(f("t").alias("r")).first().r
+
+    assert run(cleanup.joined_hyphens, "Spi-\nder silk, non-\nlinear, pro-\n duction, pro-duction, m-echanical") == "Spider silk, non-linear, production, production, mechanical"
+    assert run(cleanup.labels_to_headings, "## **1. results**\n**REVIEW:** It is.\n**Keywords:** a\n## Results of it") == "## Results\n## Review\n\nIt is.\n**Keywords:** a\n## Results of it"
+    assert run(cleanup.without_furniture, "a\n**Publisher rights** b\n*www.site-x.com c\n**Page 2 of 9**\nkept (Copyright 2021)\n  Page 3 of 4  \nx Page 3 of 4 y") == "a\nkept (Copyright 2021)\nx y"
+    assert run(cleanup.marked_formulas, "It used the following equation:\n\n## Results\nMore.") == "It used the following equation:\n\n" + cleanup.FORMULA_MARK + "\n\n## Results\nMore."
+    assert run(cleanup.marked_formulas, "It used the equation: x = 1\nand so on.") == "It used the equation: x = 1\nand so on."
+
+
+def test_repeated_sections(spark):
+    from vellichor.operators import structure
+
+    t = "# P\n## Methods\na\n## methods\nb\n## Supplementary\n## Methods\n## Methods\n## Results\n## RESULTS\n## Other\n## Other"
+    df = spark.createDataFrame([("a", t)], "k string, body string")
+    got = [r.qualified for r in structure.qualified_headings(df, "k", "body").orderBy("line").collect()]
+    assert got == ["Methods", "Methods (continued 2)", "Supplementary", "Supplementary Methods", "Methods (continued 5)", "Results", "Supplementary Results", "Other", "Other"]
+
+
 def test_tables_and_boxes(spark):
     df = spark.createDataFrame([([["a", " b ", ""], ["1", None, ""], ["", "x", ""], ["", "", ""]],)], "c array<array<string>>")
     r = df.select(tables.clean_cells("c").alias("c")).select(tables.merge_continuations(F.col("c")).alias("m")).select(tables.render(F.col("m")).alias("t")).first().t

@@ -81,3 +81,18 @@ def test_whole_documents_keep_all_records(spark, tmp_path):
     assert entries.queries()["figures"](spark, str(tmp_path)).count() == 25
     assert entries.queries()["table_records"](spark, str(tmp_path)).count() == 25
     assert len(one(spark, X.figure_records("t"), t=text)) == 20 and len(one(spark, X.table_records("t"), t=text)) == 20
+
+
+def test_labels_of_words_that_ran_together(spark):
+    for t, fused in (("Mechanical-properties-of-spider-silk-fibres", True), ("Mechanical properties of spider silk fibres and films", False), ("", False)):
+        assert one(spark, X.looks_fused("t"), t=t) is fused
+
+
+def test_labels_of_tables_and_groups(spark):
+    assert one(spark, X.figure_label("t"), t="Extended Data Fig. 2b | x") == "extended data figure 2b" and one(spark, X.figure_label("t", False), t="Table  4A") == "table 4"
+    assert one(spark, X.figure_label("t"), t="scheme 3") is None and one(spark, X.figure_label("t"), t="fig 3") is None
+
+
+def test_unicode_repair(spark):
+    assert one(spark, X.fix_unicode("t"), t="cafÃ© ﬁbre\x07 e\u0301 5 þ 3") == "café fibre é 5 + 3"
+    assert one(spark, X.fix_unicode("t"), t="plain\n") == "plain\n" and one(spark, X.fix_unicode("t"), t=None) is None

@@ -226,8 +226,11 @@ def nearby_captions(spark, sf):
 
 
 @_query(rf"""WITH {_LINES}, h AS (SELECT doc_id, line, {_strip(f"regexp_extract(content, '{X.HEADING}', 2)")} AS label FROM lines WHERE regexp_matches(content, '{X.HEADING}') AND length(regexp_extract(content, '{X.HEADING}', 1)) = 2),
-k AS (SELECT *, lower(trim(label)) AS base, row_number() OVER (PARTITION BY doc_id, lower(trim(label)) ORDER BY line) AS k FROM h)
-SELECT doc_id, line::BIGINT AS line, label, CASE WHEN base IN ('results', 'methods', 'references', 'discussion', 'supplementary') AND k > 1 THEN label || ' (continued ' || (k - 1) || ')' ELSE label END AS qualified FROM k""")
+n AS (SELECT *, CASE WHEN lower(trim(label)) IN ('results', 'methods', 'references', 'discussion', 'supplementary') THEN upper(trim(label)[1:1]) || lower(trim(label)[2:]) END AS base FROM h),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, coalesce(base, label) ORDER BY line) AS k, coalesce(bool_or(base = 'Supplementary') OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS sup FROM n),
+p AS (SELECT *, coalesce(k > 1 AND sup AND base <> 'Supplementary', false) AS plain FROM k),
+q AS (SELECT *, sum(plain::INT) OVER (PARTITION BY doc_id, coalesce(base, label) ORDER BY line) AS nth FROM p)
+SELECT doc_id, line::BIGINT AS line, label, CASE WHEN base IS NULL THEN label WHEN k = 1 THEN base WHEN plain AND nth = 1 THEN 'Supplementary ' || base ELSE base || ' (continued ' || (k + plain::INT) || ')' END AS qualified FROM q""")
 def qualified_headings(spark, sf):
     return structure.qualified_headings(_t(spark, sf, "documents"), "doc_id", "text").withColumn("line", F.col("line").cast("long"))
 
@@ -292,13 +295,51 @@ def text_health(spark, sf):
 # the graph
 
 
+_DOC_TERMS = f"""{_LATEST}, dt AS (SELECT doc_id, item AS term, count(DISTINCT id) AS n FROM ({_items("terms")}) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM dt)"""
+
+
+@_query(f"WITH {_DOC_TERMS} SELECT doc_id, term, n, rank FROM ranked WHERE rank <= 25")
+def document_terms(spark, sf):
+    return graph.document_terms(_chunks(spark, sf), 25)
+
+
+_SIMILAR = """st AS (SELECT doc_id, term FROM ranked WHERE rank <= 25), sc AS (SELECT doc_id, count(*) AS n FROM st GROUP BY doc_id),
+sp AS (SELECT a.doc_id AS source, b.doc_id AS target, count(*) AS shared FROM st a JOIN st b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL),
+sj AS (SELECT sp.*, shared / (x.n + y.n - shared) AS jac FROM sp JOIN sc x ON x.doc_id = source JOIN sc y ON y.doc_id = target),
+sim AS (SELECT source, target, shared::INT AS shared, round(jac, 4) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY jac DESC, target) AS rk FROM sj WHERE shared >= 3 AND jac >= 0.08) WHERE rk <= 5)"""
+
+
+@_query(f"WITH {_DOC_TERMS}, {_SIMILAR} SELECT * FROM sim")
+def document_similarity(spark, sf):
+    return graph.similar_documents(_chunks(spark, sf))
+
+
+_COMMUNITIES = f"""{_DOC_TERMS}, u AS (SELECT * FROM ranked WHERE rank <= 8 AND length(term) >= 4 AND term NOT IN ({_STOP})),
+cm AS (SELECT term AS label, count(*) AS documents, sum(n)::BIGINT AS weight FROM u GROUP BY term HAVING count(*) >= 2),
+best AS (SELECT *, row_number() OVER (ORDER BY documents DESC, weight DESC, label) AS rank FROM cm QUALIFY rank <= 24),
+mem AS (SELECT r.doc_id, b.label, b.rank, r.n AS weight, row_number() OVER (PARTITION BY r.doc_id ORDER BY b.rank) AS k FROM ranked r JOIN best b ON r.term = b.label WHERE r.rank <= 8),
+members AS (SELECT doc_id, label, rank, weight FROM mem WHERE k <= 4)"""
+
+
+@_query(f"WITH {_COMMUNITIES} SELECT rank, label, documents, weight, round(documents / (SELECT count(DISTINCT doc_id) FROM latest), 4) AS cohesion FROM best")
+def communities(spark, sf):
+    return graph.communities(_chunks(spark, sf))
+
+
+@_query(f"WITH {_COMMUNITIES} SELECT doc_id, label, rank, weight FROM members")
+def community_members(spark, sf):
+    return graph.community_members(_chunks(spark, sf))
+
+
 def _kinds(of: str) -> str:
     own = "id || ':' || item"
     parts = [("term", "terms", "item"), ("citation", "citations", "lower(item)"), ("external_link", "links", "lower(item)"), ("figure", "figures", own), ("table", "table_records", own)]
     return " UNION ALL ".join(of.format(kind=k, items=_items(c), key=e) for k, c, e in parts)
 
 
-@_query(f"""WITH {_LATEST}, n AS (
+@_query(f"""WITH {_COMMUNITIES}, n AS (
+  SELECT DISTINCT 'community' AS type, label AS k FROM best UNION
   SELECT DISTINCT 'document' AS type, doc_id AS k FROM kg_documents UNION SELECT DISTINCT 'chunk', id FROM latest UNION
   SELECT DISTINCT 'heading', path || ':' || heading FROM latest WHERE heading <> '' UNION SELECT * FROM ({_kinds("SELECT DISTINCT '{kind}' AS type, {key} AS k FROM ({items})")}))
 SELECT type, count(*) AS n FROM n GROUP BY type""")
@@ -306,7 +347,7 @@ def graph_nodes_by_type(spark, sf):
     return graph.nodes(_t(spark, sf, "kg_documents"), _chunks(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EDGES = f"""{_LATEST}, e AS (
+_EDGES = f"""{_COMMUNITIES}, {_SIMILAR}, e AS (
   SELECT doc_id AS source, id AS target, 'contains' AS type FROM latest UNION ALL
   SELECT id, 'heading:' || sha1(path || ':' || heading)[1:14], 'under_heading' FROM latest WHERE heading <> '' UNION ALL
   SELECT id, 'term:' || sha1(item)[1:14], 'mentions' FROM ({_items("terms")}) UNION ALL
@@ -315,12 +356,14 @@ _EDGES = f"""{_LATEST}, e AS (
   SELECT id, 'external_link:' || sha1(lower(item))[1:14], 'links_to' FROM ({_items("links")}) UNION ALL
   SELECT id, 'figure:' || sha1(id || ':' || item)[1:14], 'has_figure' FROM ({_items("figures")}) UNION ALL
   SELECT id, 'table:' || sha1(id || ':' || item)[1:14], 'has_table' FROM ({_items("table_records")})),
-g AS (SELECT source, target, type, count(*)::DOUBLE AS weight FROM e GROUP BY ALL)"""
+g AS (SELECT source, target, type, count(*)::DOUBLE AS weight FROM e GROUP BY ALL UNION ALL
+  SELECT source, target, 'related_to', jaccard FROM sim UNION ALL
+  SELECT doc_id, 'community:' || sha1(label)[1:14], 'member_of', weight::DOUBLE FROM members)"""
 
 
-@_query(f"WITH {_EDGES} SELECT type, count(*) AS n, sum(weight) AS weight FROM g GROUP BY type")
+@_query(f"WITH {_EDGES} SELECT type, count(*) AS n, round(sum(weight), 2) AS weight FROM g GROUP BY type")
 def edges_by_type(spark, sf):
-    return graph.edges(_chunks(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    return graph.edges(_chunks(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
 
 
 @_query(f"""WITH {_EDGES}, b AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS o FROM g WHERE type NOT IN ('cites', 'links_to') UNION ALL SELECT target, source FROM g WHERE type NOT IN ('cites', 'links_to')))
@@ -329,40 +372,6 @@ def neighbour_degrees(spark, sf):
     return graph.degrees(graph.edges(_chunks(spark, sf)))
 
 
-_DOC_TERMS = f"""{_LATEST}, dt AS (SELECT doc_id, item AS term, count(DISTINCT id) AS n FROM ({_items("terms")}) GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM dt)"""
-
-
-@_query(f"WITH {_DOC_TERMS} SELECT doc_id, term, n, rank FROM ranked WHERE rank <= 25")
-def document_terms(spark, sf):
-    return graph.document_terms(_chunks(spark, sf), 25)
-
-
-@_query(f"""WITH {_DOC_TERMS}, t AS (SELECT doc_id, term FROM ranked WHERE rank <= 25), c AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
-p AS (SELECT a.doc_id AS source, b.doc_id AS target, count(*) AS shared FROM t a JOIN t b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL),
-j AS (SELECT p.*, shared / (x.n + y.n - shared) AS jac FROM p JOIN c x ON x.doc_id = source JOIN c y ON y.doc_id = target)
-SELECT source, target, shared::INT AS shared, round(jac, 4) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY jac DESC, target) AS rk FROM j WHERE shared >= 3 AND jac >= 0.08) WHERE rk <= 5""")
-def document_similarity(spark, sf):
-    return graph.similar_documents(_chunks(spark, sf))
-
-
-_COMMUNITIES = f"""{_DOC_TERMS}, u AS (SELECT * FROM ranked WHERE rank <= 8 AND length(term) >= 4 AND term NOT IN ({_STOP})),
-cm AS (SELECT term AS label, count(*) AS documents, sum(n)::BIGINT AS weight FROM u GROUP BY term HAVING count(*) >= 2),
-best AS (SELECT *, row_number() OVER (ORDER BY documents DESC, weight DESC, label) AS rank FROM cm QUALIFY rank <= 24),
-mem AS (SELECT r.doc_id, b.label, b.rank, r.n AS weight, row_number() OVER (PARTITION BY r.doc_id ORDER BY b.rank) AS k FROM ranked r JOIN best b ON r.term = b.label WHERE r.rank <= 8),
-members AS (SELECT doc_id, label, rank, weight FROM mem WHERE k <= 4)"""
-
-
-@_query(f"WITH {_COMMUNITIES} SELECT rank, label, documents, weight, round(documents / (SELECT count(DISTINCT doc_id) FROM latest), 4) AS cohesion FROM best")
-def communities(spark, sf):
-    return graph.communities(_chunks(spark, sf))
-
-
-@_query(f"WITH {_COMMUNITIES} SELECT doc_id, label, rank, weight FROM members")
-def community_members(spark, sf):
-    return graph.community_members(_chunks(spark, sf))
-
-
 @_query(f"""WITH {_COMMUNITIES}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, id) AS fk FROM latest) WHERE fk <= 3),
 ft AS (SELECT doc_id, unnest(list_filter(terms, lambda x: x IS NOT NULL AND trim(x) <> '')[1:8]) AS term FROM first),
 n AS (SELECT label, term, count(*) AS n FROM members JOIN ft USING (doc_id) GROUP BY ALL)
@@ -371,9 +380,15 @@ def community_terms(spark, sf):
     return graph.community_terms(_chunks(spark, sf))
 
 
-@_query()
+@_query(f"""WITH {_COMMUNITIES}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, id) AS fk FROM latest) WHERE fk <= 3),
+ft AS (SELECT doc_id, unnest(list_filter(terms, lambda x: x IS NOT NULL AND trim(x) <> '')[1:8]) AS term FROM first),
+tn AS (SELECT label, term, count(*) AS n FROM members JOIN ft USING (doc_id) GROUP BY ALL),
+tt AS (SELECT label, list(term ORDER BY place) AS top FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, term) AS place FROM tn) WHERE place <= 12 GROUP BY label),
+md AS (SELECT label, count(*) AS documents FROM members GROUP BY label),
+named AS (SELECT label, documents, top, array_to_string(list_filter(top[1:5], lambda x: x <> label), ', ') AS names FROM md JOIN tt USING (label))
+SELECT label, documents, array_to_string(top, '|') AS top_terms, 'Community around `' || label || '` spans ' || documents || ' document(s)' || CASE WHEN names <> '' THEN ' and is associated with ' || names ELSE '' END || '.' AS summary FROM named""")
 def community_summaries(spark, sf):
-    return graph.community_summaries(_chunks(spark, sf))
+    return graph.community_summaries(_chunks(spark, sf)).withColumn("top_terms", F.array_join("top_terms", "|"))
 
 
 @_query()
@@ -473,9 +488,12 @@ def assertion_scan(spark, sf):
     return quality.scan(_t(spark, sf, "documents"), "doc_id", "text").withColumn("line", F.col("line").cast("long"))
 
 
-@_query("SELECT path, " + ", ".join(f"count(*) FILTER (rule = '{r}') AS {r}" for r in ("running_header", "packed_references", "known_mojibake", "bad_sentence_title")) + " FROM audit_findings GROUP BY path")
+_RULES = [r for r, _ in (*quality.LINE_RULES, *quality.TITLE_RULES)] + ["crlf_line_endings", "packed_references"]
+
+
+@_query("SELECT path, " + ", ".join(f"count(*) FILTER (rule = '{r}') AS {r}" for r in _RULES) + " FROM audit_findings GROUP BY path")
 def findings_pivot(spark, sf):
-    return quality.findings_by_rule(_t(spark, sf, "audit_findings"), ["running_header", "packed_references", "known_mojibake", "bad_sentence_title"])
+    return quality.findings_by_rule(_t(spark, sf, "audit_findings"), _RULES)
 
 
 @_query("""WITH b AS (SELECT path, count(*) AS before FROM audit_findings GROUP BY path), a AS (SELECT path, count(*) AS after FROM (SELECT DISTINCT run_id, path, line, rule, excerpt FROM audit_findings) GROUP BY path)

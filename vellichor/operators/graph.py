@@ -2,9 +2,9 @@
 
 Nodes: document, chunk, heading, term, citation, external_link, figure,
 table, community. Edges: contains, under_heading, mentions, cites, links_to,
-has_figure, has_table, related_to, member_of. ``nodes`` and ``edges`` give what
-single documents and chunks hold; communities, related_to and member_of, which
-come of comparing documents, are in ``topic_nodes`` and ``topic_edges``.
+has_figure, has_table, related_to, member_of. ``chunk_nodes`` and
+``chunk_edges`` give what single documents and chunks hold, ``topic_nodes`` and
+``topic_edges`` what comes of comparing documents, ``nodes`` and ``edges`` all.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def _items(chunks: DataFrame, column: str) -> DataFrame:
     return chunks.select("id", "doc_id", "path", "seq", F.explode(F.filter(F.col(column), lambda x: x.isNotNull() & (F.trim(x) != ""))).alias("item"))
 
 
-def nodes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, type, label): every node once, the first label by chunk order.
+def chunk_nodes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, type, label): every node of documents and chunks once, the first label by chunk order.
 
     ``documents`` has doc_id, title; ``chunks`` id, doc_id, path, heading,
     seq and the arrays terms, citations, links, figures, table_records.
@@ -51,7 +51,7 @@ def nodes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return all_.groupBy("id", "type").agg(F.min(F.struct("seq", "label")).alias("m")).select("id", "type", F.col("m.label").alias("label"))
 
 
-def edges(chunks: DataFrame) -> DataFrame:
+def chunk_edges(chunks: DataFrame) -> DataFrame:
     """(source, target, type, weight) of all edges that chunks give, weights added up."""
     one = F.lit(1.0)
     contains = chunks.select(F.col("doc_id").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("type"))
@@ -138,6 +138,16 @@ def topic_edges(chunks: DataFrame) -> DataFrame:
     return related.unionByName(member)
 
 
+def nodes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, type, label): every node of the graph once."""
+    return chunk_nodes(documents, chunks).unionByName(topic_nodes(chunks))
+
+
+def edges(chunks: DataFrame) -> DataFrame:
+    """(source, target, type, weight) of all edges of the graph."""
+    return chunk_edges(chunks).unionByName(topic_edges(chunks))
+
+
 def community_terms(chunks: DataFrame, chunks_per_document: int = 3, terms_per_chunk: int = 8, top: int = 12) -> DataFrame:
     """(label, term, n, place): what the first chunks of the members of a community mention most."""
     w = Window.partitionBy("doc_id").orderBy("ordinal", "id")
@@ -172,11 +182,12 @@ def degrees(e: DataFrame) -> DataFrame:
 
 
 def source_hash(chunks: DataFrame, key: str = "id", text: str = "text", length: int = 24) -> DataFrame:
-    """One row: a hash of all chunks that any change alters.
+    """One row: a hash of all chunks that any change alters, in whatever order they lie.
 
-    Hashes of chunks are combined by hash of their sorted prefixes, so that
-    no task has to hold all texts.
+    Hashes of chunks are added up in four parts of 60 bits; sums combine within
+    the tasks, so nothing is collected.
     """
     one = chunks.select(F.sha2(F.concat(F.col(key), F.lit("\u0000"), F.coalesce(text, F.lit("")), F.lit("\u0000")).cast("binary"), 256).alias("h"))
-    part = one.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
-    return part.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "").cast("binary"), 256), 1, length).alias("source_hash"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias(f"p{k}") for k in range(4)]
+    sums = one.agg(F.count(F.lit(1)).alias("n"), *parts)
+    return sums.select(F.substring(F.sha2(F.concat_ws(":", "n", *[f"p{k}" for k in range(4)]).cast("binary"), 256), 1, length).alias("source_hash"))

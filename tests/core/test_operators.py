@@ -155,7 +155,7 @@ def test_cleanup_passes(spark):
     assert run(cleanup.joined_hyphens, "Spi-\nder silk, non-\nlinear, pro-\n duction, pro-duction, m-echanical") == "Spider silk, non-linear, production, production, mechanical"
     assert run(cleanup.labels_to_headings, "## **1. results**\n**REVIEW:** It is.\n**Keywords:** a\n## Results of it") == "## Results\n## Review\n\nIt is.\n**Keywords:** a\n## Results of it"
     assert run(cleanup.without_furniture, "a\n**Publisher rights** b\n*www.site-x.com c\n**Page 2 of 9**\nkept (Copyright 2021)\n  Page 3 of 4  \nx Page 3 of 4 y") == "a\nkept (Copyright 2021)\nx y"
-    assert run(cleanup.marked_formulas, "It used the following equation:\n\n## Results\nMore.") == "It used the following equation:\n\n" + cleanup.FORMULA_MARK + "\n\n## Results\nMore."
+    assert run(cleanup.marked_formulas, "It used the following equation:\n\n## Results\nMore.") == "It used the following equation:\n\n" + cleanup.FORMULA_MARK + "\n## Results\nMore."
     assert run(cleanup.marked_formulas, "It used the equation: x = 1\nand so on.") == "It used the equation: x = 1\nand so on."
 
 

@@ -2,15 +2,21 @@
 
 Lexical (BM25 and field boosts), vector (hashed features) and graph scores,
 each divided by its greatest, fused by reciprocal ranks and weights, reranked,
-graded. A batch of queries is one DataFrame (qid, query); every stage works
-on the (qid, chunk) pairs that some index brought up, never on all pairs.
+graded. A batch of queries is one DataFrame (qid, query). Words and labels
+bring up (qid, chunk) pairs by joins; boosts are worked out for pairs that
+some score brought up. Vectors are compared in the tasks, a block of queries
+against each batch of chunks, since a cosine is above zero for most pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,31 +144,88 @@ class ChunkIndex:
         return ChunkIndex(c, documents.select("doc_id", "path", "title"), sparse, materialize(G.nodes(documents, c), "index-nodes"), materialize(G.edges(c), "index-edges"), None if vectors is None else materialize(vectors, "index-vectors"))
 
 
-def lexical_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame) -> DataFrame:
-    """(qid, key, score): BM25 and field boosts of chunks that hold a query or expanded word."""
+def lexical_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score): BM25 and field boosts of chunks that hold a query or expanded word, and of the pairs in ``also``.
+
+    Boosts: 2.2 for the whole query in the text, 0.9 and 0.7 for each query
+    word in heading and title, 0.22 (1 + ln tf) for each expanded word and
+    0.08 for each expanded label contained in the text.
+    """
     base = bm25(index.sparse, queries)
-    extra = expanded.select("qid", F.explode("expanded").alias("e"))
-    single = extra.filter(~F.contains("e", F.lit(" ")))
+    seeds = queries.join(exploded_tokens(queries, "qid", "query").groupBy(F.col("key").alias("qid")).agg(F.collect_set("term").alias("q")), "qid").join(expanded, "qid", "left")
+    seeds = seeds.select("qid", F.lower(F.trim("query")).alias("phrase"), "q", F.array_except(F.coalesce("expanded", F.array().cast("array<string>")), "q").alias("more"))
+    single = seeds.select("qid", F.explode("more").alias("e")).filter(~F.contains("e", F.lit(" ")))
     tf = index.sparse.postings.join(single, F.col("term") == F.col("e")).select("qid", "key", (0.22 * (1 + F.log("tf"))).alias("s"))
-    seeds = queries.join(exploded_tokens(queries, "qid", "query").groupBy(F.col("key").alias("qid")).agg(F.collect_set("term").alias("q")), "qid").select("qid", F.lower(F.trim("query")).alias("phrase"), "q")
     c = index.chunks.join(index.documents.select("doc_id", "title"), "doc_id", "left").select(F.col("id").alias("key"), "low", F.col("heading_low").alias("h"), F.lower(F.coalesce("title", F.lit(""))).alias("t"))
-    found = base.select("qid", "key").unionByName(tf.select("qid", "key")).distinct()
-    boost = found.join(c, "key").join(seeds, "qid").select("qid", "key", (F.when(F.contains("low", F.col("phrase")), 2.2).otherwise(0.0) + 0.9 * matches(F.col("q"), F.col("h")) + 0.7 * matches(F.col("q"), F.col("t"))).alias("s"))
+    found = base.select("qid", "key").unionByName(tf.select("qid", "key"))
+    found = (found if also is None else found.unionByName(also.select("qid", "key"))).distinct()
+    part = F.when(F.contains("low", F.col("phrase")), 2.2).otherwise(0.0) + 0.9 * matches(F.col("q"), F.col("h")) + 0.7 * matches(F.col("q"), F.col("t")) + 0.08 * matches(F.col("more"), F.col("low"))
+    boost = found.join(c, "key").join(seeds, "qid").select("qid", "key", part.alias("s"))
     all_ = base.withColumnRenamed("score", "s").unionByName(tf).unionByName(boost)
     return all_.groupBy("qid", "key").agg(F.sum("s").alias("score"))
 
 
-def vector_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame, least: float = 0.0) -> DataFrame:
+#: Queries that are compared with the chunks at once.
+QUERY_BLOCK = 4096
+
+
+def vector_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame, least: float = 0.0, dimensions: int = V.DIMENSIONS) -> DataFrame:
     """(qid, key, score): cosine with the query, or 0.92 of that with its expansion, whichever is greater.
 
-    Vectors meet by bucket in an inverted join: (bucket, weight) of chunks
-    against those of the queries of the batch, which are few.
+    The vectors of the queries go to the tasks in blocks; nothing is joined or shuffled.
     """
-    q = queries.select("qid", V.hash_embedding("query").alias("v"), F.lit(1.0).alias("f")).unionByName(expanded.select("qid", V.hash_embedding(F.array_join("expanded", " ")).alias("v"), F.lit(0.92).alias("f")))
-    qb = q.select("qid", "f", F.explode("v").alias("bucket", "w"))
-    cb = index.embeddings.select("key", F.explode("embedding").alias("bucket", "x"))
-    dot = cb.join(qb, "bucket").groupBy("qid", "key", "f").agg(F.sum(F.col("w") * F.col("x")).alias("d"))
-    return dot.groupBy("qid", "key").agg(F.max(F.col("d") * F.col("f")).alias("score")).filter(F.col("score") > least)
+    q = queries.select("qid", V.hash_embedding("query").alias("v")).join(expanded.select("qid", V.hash_embedding(F.array_join("expanded", " ")).alias("x")), "qid", "left").orderBy("qid")
+    kind = queries.schema["qid"].dataType.simpleString()
+    key = index.embeddings.schema["key"].dataType.simpleString()
+    rows, out = [], None
+
+    def score(rows: list) -> DataFrame:
+        own, wide = np.zeros((len(rows), dimensions)), np.zeros((len(rows), dimensions))
+        for k, r in enumerate(rows):
+            for m, v in ((own, r["v"]), (wide, r["x"])):
+                for bucket, w in (v or {}).items():
+                    m[k, bucket] = w
+        shared = queries.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in rows]), own, 0.92 * wide))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, own, wide = shared.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    m = np.zeros((b.num_rows, dimensions))
+                    for k, v in enumerate(b.column(1).to_pylist()):
+                        for bucket, w in v or ():
+                            m[k, bucket] = w
+                    c = np.maximum(m @ own.T, m @ wide.T)
+                    i, j = np.nonzero(c > least)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[j]), b.column(0).take(pa.array(i)), pa.array(c[i, j])], names=["qid", "key", "score"])
+
+        return index.embeddings.select("key", "embedding").mapInArrow(run, f"qid {kind}, key {key}, score double")
+
+    for r in q.toLocalIterator():
+        rows.append(r)
+        if len(rows) == QUERY_BLOCK:
+            out, rows = (score(rows) if out is None else out.unionAll(score(rows))), []
+    if rows or out is None:
+        out = score(rows) if out is None else out.unionAll(score(rows))
+    return out
+
+
+def neighbour_terms(index: ChunkIndex, terms: DataFrame) -> DataFrame:
+    """(node, near): which of the terms occur within the ids of a node's neighbours. ``terms`` (t) are the words of a batch of queries."""
+    wanted = frozenset(r["t"] for r in terms.distinct().toLocalIterator())
+    sizes = sorted({len(t) for t in wanted})
+    shared = terms.sparkSession.sparkContext.broadcast((wanted, sizes))
+
+    @F.pandas_udf("array<string>")
+    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        wanted, sizes = shared.value
+        for s in batches:
+            yield s.map(lambda x: sorted({x[k : k + n] for n in sizes for k in range(len(x) - n + 1)} & wanted))
+
+    ends = G.neighbours(index.edges)
+    found = ends.select("neighbour").distinct().withColumn("near", inside(F.lower("neighbour"))).filter(F.size("near") > 0)
+    return ends.join(found, "neighbour").select("node", F.explode("near").alias("t")).distinct().groupBy("node").agg(F.collect_list("t").alias("near"))
 
 
 def graph_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame) -> DataFrame:
@@ -194,14 +257,27 @@ def search(index: ChunkIndex, queries: DataFrame, mode: str = "hybrid", limit: i
     queries = queries.select("qid", F.trim("query").alias("query")).filter("query <> ''")
     # each stage is read several times below
     expanded = materialize(expand_queries(queries, index.nodes, index.edges, expand), "query-expanded")
-    lex = materialize(lexical_scores(index, queries, expanded), "query-lexical")
+    by_graph = materialize(graph_scores(index, queries, expanded), "query-labels")
+    lex = materialize(lexical_scores(index, queries, expanded, by_graph), "query-lexical")
     vec = materialize(vector_scores(index, queries, expanded), "query-vector") if mode != "lexical" else None
-    gra = graph_scores(index, queries, expanded)
     lead = lex.select("qid", "key", "score") if vec is None else lex.unionByName(vec).groupBy("qid", "key").agg(F.sum("score").alias("score"))
+    placed = index.chunks.select(F.col("id").alias("key"), "doc_id")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-    top = lead.withColumn("r", F.row_number().over(w)).filter("r <= 5").join(index.chunks.select(F.col("id").alias("key"), "doc_id"), "key").select("qid", "doc_id").distinct()
-    seeded = lead.filter("score > 0").join(index.chunks.select(F.col("id").alias("key"), "doc_id"), "key").join(F.broadcast(top), ["qid", "doc_id"], "left_semi").select("qid", "key", F.lit(0.35).alias("score"))
-    gra = materialize(gra.unionByName(seeded).groupBy("qid", "key").agg(F.sum("score").alias("score")), "query-graph")
+    # at most five documents a query, and those related to them
+    top = lead.withColumn("r", F.row_number().over(w)).filter("r <= 5").join(placed, "key").select("qid", "doc_id").distinct()
+    linked = index.edges.filter("type = 'related_to'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    linked = linked.unionAll(linked.select("b", "a"))
+    near_top = top.unionAll(top.join(linked, F.col("doc_id") == F.col("a")).select("qid", "b")).distinct()
+    seeded = lead.filter("score > 0").join(placed, "key").join(near_top, ["qid", "doc_id"], "left_semi").select("qid", "key", F.lit(0.35).alias("score"))
+    words = exploded_tokens(queries, "qid", "query").select(F.col("key").alias("qid"), F.col("term").alias("t")).unionByName(expanded.select("qid", F.explode("expanded").alias("t"))).distinct()
+    near = materialize(neighbour_terms(index, words.select("t")), "query-neighbours")
+    of_chunk, of_doc = near.select(F.col("node").alias("key"), F.col("near").alias("n1")), near.select(F.col("node").alias("doc_id"), F.col("near").alias("n2"))
+    none = F.array().cast("array<string>")
+    around = placed.join(of_chunk, "key", "left").join(of_doc, "doc_id", "left").select("key", F.array_union(F.coalesce("n1", none), F.coalesce("n2", none)).alias("near")).filter(F.size("near") > 0)
+    asks = words.groupBy("qid").agg(F.collect_list("t").alias("ts"))
+    pairs = lead.filter("score > 0").select("qid", "key").unionByName(by_graph.select("qid", "key")).distinct()
+    boosted = pairs.join(around, "key").join(asks, "qid").select("qid", "key", F.least(F.lit(0.4), 0.04 * F.size(F.array_intersect("ts", "near"))).alias("score")).filter("score > 0")
+    gra = materialize(by_graph.unionByName(seeded).unionByName(boosted).groupBy("qid", "key").agg(F.sum("score").alias("score")), "query-graph")
     sets = {"lexical": lex, "graph": gra} | ({} if vec is None else {"vector": vec})
     order = {"hybrid": ("lexical", "vector", "graph"), "lexical": ("lexical", "graph"), "vector": ("vector", "graph", "lexical")}[mode]
     all_ = rrf([sets[s] for s in order])

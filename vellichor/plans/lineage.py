@@ -1,11 +1,15 @@
 """Cutting lineage with tables in the shared folder of the cluster.
 
-``spark.checkpoint.dir`` names that folder. It is read from the session; only
-where it is unset (tests, a laptop) is a temporary folder made.
+``spark.checkpoint.dir`` names that folder. It is read from the session; where
+it is unset, a local master (tests, a laptop) gets a temporary folder, which is
+removed when Python ends, and any other master an error: its executors would
+each write to a disk of their own.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,9 +24,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared folder, unique to this call."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         key = spark.sparkContext.applicationId
         if key not in _fallback:
             _fallback[key] = tempfile.mkdtemp(prefix="vellichor-")
+            atexit.register(shutil.rmtree, _fallback[key], ignore_errors=True)
         base = "file://" + _fallback[key]
     return f"{base.rstrip('/')}/vellichor/{name}-{uuid.uuid4().hex[:12]}"
 

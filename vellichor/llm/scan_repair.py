@@ -42,6 +42,8 @@ ENRICHED = 3.0
 HEADER_SHARES = (0.1, 0.3)
 #: Places in running text that every word is given beforehand, so that rare words count little.
 HEADER_WEIGHT = 8
+#: Characters beyond which a line is no running header.
+LONGEST_HEADER = 160
 #: Rounds of the Baum-Welch fit, and the weight of its first guess, in lines a state.
 ROUNDS = 8
 GUESS_WEIGHT = 20.0
@@ -65,7 +67,7 @@ _FORMULA = frozenset("=\\_^{}<>±")
 _JOINING = frozenset("of and in for et de y e und für von".split())
 #: A name of a publication joins words; a lone name in capitals does not.
 _JOINED = re.compile(r"\s(?:of|OF|for|FOR|für|FÜR|de|DE|di|DI|/)\s")
-_SPACED_INSIDE = re.compile(r"(?<!\S)(?:[A-ZÀ-Þ]\s){3,}[A-ZÀ-Þ](?!\S)")
+_SPACED_INSIDE = re.compile(r"[A-ZÀ-Þ]\s[A-ZÀ-Þ]\s[A-ZÀ-Þ](?:\s[A-ZÀ-Þ])+(?!\S)")
 _SIGNED_END = re.compile(r"[-‐\xad¬][ \t]*\r?\n")
 _MARKED = re.compile(r"^\s*(?:[-*•]|\(?\d{1,3}[.)]|\([a-z]\)|\[\d+\])\s", re.MULTILINE)
 _REFERENCE_TAIL = re.compile(r"\s*(?:\([^)]*\)\s*)?\d+,\s*\d+")
@@ -77,7 +79,7 @@ def prose_like(text: str) -> bool:
     words = text.split()
     if not words:
         return False
-    common = sum(w in _KNOWN for w in words) / len(words)
+    common = sum(map(_KNOWN.__contains__, words)) / len(words)
     if common >= 0.15 and text.count("|") < 4:
         kinds = line_kinds(text) if text.count("\n") >= 2 and len(_MARKED.findall(text)) >= 2 else None
         return not kinds or max(kinds.listed, kinds.tabled) <= 0.5 * kinds.total
@@ -99,9 +101,9 @@ def looks(t: str) -> str:
     if len(t) <= 40 and _PAGE.fullmatch(t):
         # a lone c or l is a misread mark rather than a page
         return "o" if t in ("c", "l", "C", "L") else "n"
-    if t[0].islower() or t[0] in "#*>" or "\t" in t or t[-1] in ".;,:!?-‐¬\xad" and not t.endswith("al.") or ". " in t.replace("al. ", "").replace("Vol. ", ""):
+    if len(t) > LONGEST_HEADER or t[0].islower() or t[0] in "#*>" or "\t" in t or t[-1] in ".;,:!?-‐¬\xad" and not t.endswith("al.") or ". " in t.replace("al. ", "").replace("Vol. ", ""):
         return "o"
-    if sum(map(str.isalpha, t)) < 6 or not _FORMULA.isdisjoint(t):
+    if not _FORMULA.isdisjoint(t) or sum(map(str.isalpha, t)) < 6:
         return "o"
     if _SPACED.match(t):
         return "s"
@@ -219,6 +221,7 @@ class Lexicon:
         self.words, self.total, self.noisy_total, self.chain = words, max(1, total), noisy_total, chain or Chain()
         self._good = GOOD_SHARE * self.total
         self._seen: dict[str, str | None] = {}
+        self._known: dict[str, tuple[tuple[str, str, bool], ...]] = {}
         some, sure = HEADER_SHARES
         self.heads = {w: 2 if h >= sure * (n + HEADER_WEIGHT) else 1 for w, (n, _, h) in words.items() if h >= some * (n + HEADER_WEIGHT) and len(w) > 3}
         self._sure = frozenset(f(w) for w, v in self.heads.items() if v == 2 for f in (str.capitalize, str.upper))
@@ -231,7 +234,9 @@ class Lexicon:
         """Spans within a line that may be a running header: runs of capitals around a word usual in headers."""
         if len(line) < 40:
             return []
-        at = [m.span() for m in _SPACED_INSIDE.finditer(line)] + [m.span() for m in _AUTHORED.finditer(line)]
+        at = [m.span() for m in _SPACED_INSIDE.finditer(line) if not m.start() or line[m.start() - 1].isspace()]
+        if " et al. / " in line:
+            at += [m.span() for m in _AUTHORED.finditer(line)]
         if not self._sure.isdisjoint(line.split()):
             at += [m.span() for m in re.finditer(r"\S+", line) if m.group() in self._sure]
         spans: list[tuple[int, int]] = []
@@ -260,6 +265,17 @@ class Lexicon:
     def count(self, word: str) -> int:
         return self.words.get(word, (0, 0, 0))[0]
 
+    def suspects(self, word: str) -> tuple[tuple[str, str, bool], ...]:
+        """(part, correction, whether it is weak) of the parts of a word that are misread; remembered by word."""
+        got = self._known.get(word)
+        if got is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            parts = [word] if word.isalpha() else re.split(r"[-’']", word)
+            parts = [p for p in parts if len(p) >= 3 and not p.isupper()]
+            got = self._known[word] = tuple((p, c, self.weak(p.lower())) for p in parts if (c := self.correction(p.lower())) is not None)
+        return got
+
     def correction(self, word: str) -> str | None:
         """The word that a misread word stands for; None for a word that is all right."""
         if len(word) < 3:
@@ -593,17 +609,13 @@ def analyse(text: str, lexicon: Lexicon, repair: bool = False, recurring: dict[s
             found.add("misread")
             if repair:
                 wrong[t] = next((c for c in sorted(candidates(t.lower()), key=lambda c: -lexicon.count(c)) if lexicon.count(c)), None)
-    weak, is_weak = 0, lexicon.weak
+    weak = 0
     for w in set(_WORD.findall(body)):
-        parts = [w] if w.isalpha() else re.split(r"[-’']", w)
-        for p in parts:
-            if p.isupper() and len(p) > 1 or len(p) < 3:
-                continue
-            if (c := lexicon.correction(p.lower())) is not None:
-                wrong[p] = c
-                weak += is_weak(p.lower())
-                if not is_weak(p.lower()) or weak > 1:
-                    found.add("misread")
+        for p, c, is_weak in lexicon.suspects(w):
+            wrong[p] = c
+            weak += is_weak
+            if not is_weak or weak > 1:
+                found.add("misread")
     if not repair:
         return found, None
     if wrong and "misread" in found:

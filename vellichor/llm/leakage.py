@@ -73,6 +73,12 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; several times faster than a hash of them at these sizes."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Index:
     """BM25 postings of segments of items by term, block maxima and thresholds; ``ids`` has the item of each segment."""
 
@@ -152,7 +158,7 @@ class Index:
         early = late - 1
         both = (early >= 0) & (pos < early * step + WINDOW)
         window = np.concatenate([first[doc] + late, (first[doc] + early)[both]])
-        pair = np.unique(window * len(self.terms) + np.concatenate([tokens, tokens[both]]))
+        pair = _distinct(window * len(self.terms) + np.concatenate([tokens, tokens[both]]))
         if not len(pair):
             return []
         window, term = pair // len(self.terms), pair % len(self.terms)
@@ -174,7 +180,7 @@ class Index:
             part, m = leads[at:end], n[at:end]
             offset = np.concatenate([[0], np.cumsum(m)[:-1]])
             spot = np.repeat(self.lead_start[term[part]] - offset, m) + np.arange(m.sum())
-            pivot = np.unique(np.repeat(place[part], m) * self.blocks + self.lead_block[spot])
+            pivot = _distinct(np.repeat(place[part], m) * self.blocks + self.lead_block[spot])
             out += [(int(window[starts[w]]), k) for w, k in self._score(pivot % self.blocks, pivot // self.blocks, starts, sizes, term, local)]
             at = end
         place_of = np.searchsorted(first, [g for g, _ in out], "right") - 1 if out else []
@@ -197,7 +203,7 @@ class Index:
             keep = np.flatnonzero(bound >= self.block_low[b])
             if not len(keep):
                 continue
-            inside = np.isin(np.repeat(np.arange(len(mine)), n), keep)
+            inside = np.repeat(bound >= self.block_low[b], n)
             score = np.add.reduceat(np.vstack([np.zeros((1, BLOCK)), self.weights[lo:hi]])[at[inside]], np.concatenate([[0], np.cumsum(n[keep])[:-1]]), axis=0)
             for x, k in zip(*np.nonzero(score >= self.low[b]), strict=True):
                 yield int(mine[keep[x]]), b * BLOCK + int(k)

@@ -196,3 +196,29 @@ def test_nearest_agrees_with_brute_force(spark):
         c[q] = -9
         assert [got[q, r] for r in (1, 2, 3)] == list(np.argsort(-c)[:3])
     assert nearest(v, v.limit(0)).collect() == []
+
+
+def test_most_alike_sets_agree_with_brute_force(spark):
+    import random
+
+    from vellichor.operators.overlap import closest
+
+    draw = random.Random(7)
+    sets = {f"d{k:03}": draw.sample([f"t{min(int(draw.paretovariate(0.7)), 60)}.{j}" for j in range(3) for _ in range(12)] + ["common"], draw.randint(0, 14)) for k in range(160)}
+    sets = {k: sorted(set(v)) for k, v in sets.items()} | {"d900": ["common"] + [f"u{j}" for j in range(9)], "d901": ["common"] + [f"u{j}" for j in range(9)]}
+    wanted = set()
+    for a, x in sets.items():
+        pairs = [(-len(set(x) & set(y)) / len(set(x) | set(y)), b, len(set(x) & set(y))) for b, y in sets.items() if b > a and len(set(x) & set(y)) >= 2]
+        wanted |= {(a, b, n, round(-j, 9)) for j, b, n in sorted(p for p in pairs if -p[0] >= 0.15)[:3]}
+    df = spark.createDataFrame([*sets.items(), (None, ["common", "u1", "u2"])], "key string, items array<string>")
+    for block in (1000, 50):
+        found = closest(df, "key", "items", 3, 2, 0.15, block)
+        assert {(r.source, r.target, r.shared, round(r.jaccard, 9)) for r in found.collect()} == wanted and len(wanted) > 100
+
+
+def test_similar_documents_write_no_pairs(spark, tmp_path):
+    # 3,000 documents share five terms: 4.5 million pairs, of which a few each are kept
+    rows = spark.range(3000).selectExpr("concat('c', id) as id", "concat('d', id) as doc_id", "'p' as path", "'' as heading", "id as seq", "array('aa', 'bb', 'cc', 'dd', 'ee', concat('own', id)) as terms")
+    df = graph.similar_documents(rows)
+    assert "Join" not in df._jdf.queryExecution().toString()
+    assert df.count() == 5 * 2995 + 10

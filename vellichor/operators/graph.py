@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellichor.functions import text as X
+from vellichor.operators.overlap import closest
+from vellichor.plans.lineage import materialize
 
 TOP_TERMS = 25
 LEAST_SIMILARITY = 0.08
@@ -82,26 +84,13 @@ def document_terms(chunks: DataFrame, limit: int | None = None) -> DataFrame:
 def similar_documents(chunks: DataFrame, top: int = TOP_TERMS, keep: int = 5) -> DataFrame:
     """(source, target, shared, jaccard): documents whose best terms overlap.
 
-    Every pair with at least three shared terms is found, though only rarer
-    terms are joined: of two sets that share three terms, at least one shared
-    term is not among the two most common of the left document, so those two
-    are not looked up for it. Per document the ``keep`` most similar of the
-    later ones (by id) remain; ties by id.
+    Every pair with at least three shared terms is looked at, but none is
+    written, see ``overlap.closest``. Per document the ``keep`` most similar
+    of the later ones (by id) remain; ties by id.
     """
     t = document_terms(chunks, top).select("doc_id", "term")
-    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("df"), "term")
-    placed = t.join(df, "term").withColumn("place", F.row_number().over(w))
-    # a term of a single document joins nothing
-    probe = placed.filter("place > 2 and df > 1").select(F.col("doc_id").alias("l"), "term")
-    build = placed.filter("df > 1").select(F.col("doc_id").alias("r"), "term")
-    pairs = probe.join(build, "term").filter("l < r").select("l", "r").distinct()
-    sets = t.groupBy("doc_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("l"), F.col("terms").alias("a")), "l").join(sets.select(F.col("doc_id").alias("r"), F.col("terms").alias("b")), "r")
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = both.withColumn("shared", shared).withColumn("jaccard", F.col("shared") / (F.size("a") + F.size("b") - F.col("shared"))).filter((F.col("shared") >= LEAST_OVERLAP) & (F.col("jaccard") >= LEAST_SIMILARITY))
-    best = Window.partitionBy("l").orderBy(F.desc("jaccard"), "r")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep).select(F.col("l").alias("source"), F.col("r").alias("target"), "shared", F.round("jaccard", 4).alias("jaccard"))
+    sets = materialize(t.groupBy("doc_id").agg(F.collect_list("term").alias("terms")), "document-terms")
+    return closest(sets, "doc_id", "terms", keep, LEAST_OVERLAP, LEAST_SIMILARITY).withColumn("jaccard", F.round("jaccard", 4))
 
 
 def communities(chunks: DataFrame, per_document: int = 8, count: int = 24) -> DataFrame:

@@ -222,3 +222,24 @@ def test_similar_documents_write_no_pairs(spark, tmp_path):
     df = graph.similar_documents(rows)
     assert "Join" not in df._jdf.queryExecution().toString()
     assert df.count() == 5 * 2995 + 10
+
+
+def test_chunk_edges_add_up_within_rows(spark):
+    some = "id string, doc_id string, path string, heading string, seq long, terms array<string>, citations array<string>, links array<string>, figures array<string>, table_records array<string>"
+    rows = [
+        ("c1", "d1", "p", "H", 1, ["a", "b", "a", " ", None], ["X", "x"], None, ["f", "f"], []),
+        ("c2", "d1", "p", None, 2, ["a"], [], ["u"], None, ["t"]),
+        ("d1", "d2", "p", "", 3, ["a", "a"], None, None, None, None),
+    ]
+    c = spark.createDataFrame(rows, some)
+    e = graph.chunk_edges(c)
+    # edges are not brought together over all types, only repeated items and terms of documents are
+    assert not [x for x in e._jdf.queryExecution().toString().splitlines() if "Exchange" in x and "type#" in x]
+    got = sorted((r.source, r.target.split(":")[0], r.type, r.weight) for r in e.collect())
+    assert got == sorted([
+        ("d1", "c1", "contains", 1.0), ("d1", "c2", "contains", 1.0), ("d2", "d1", "contains", 1.0), ("c1", "heading", "under_heading", 1.0),
+        ("c1", "term", "mentions", 2.0), ("c1", "term", "mentions", 1.0), ("c2", "term", "mentions", 1.0), ("d2", "term", "mentions", 2.0),
+        ("d1", "term", "mentions", 5.0), ("d1", "term", "mentions", 1.0),
+        ("c1", "citation", "cites", 2.0), ("c2", "external_link", "links_to", 1.0), ("c1", "figure", "has_figure", 2.0), ("c2", "table", "has_table", 1.0),
+    ])
+    assert sorted((r.doc_id, r.term, r.n) for r in graph.document_terms(c).collect()) == [("d1", "a", 2), ("d1", "b", 1), ("d2", "a", 1)]

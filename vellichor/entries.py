@@ -14,6 +14,7 @@ from vellichor.functions import text as X
 from vellichor.functions import vectors as V
 from vellichor.operators import benchmark, chunking, cleanup, graph, layout, lexical, manifest, quality, retrieval, structure, tables, terms
 from vellichor.operators.nearest import nearest
+from vellichor.plans.lineage import materialize
 from vellichor.plans.session import steady
 from vellichor.sources import files
 from vellichor.sources import tables as artifacts
@@ -43,6 +44,11 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumns({a: F.filter(F.coalesce(F.col(a), empty), lambda x: x.isNotNull() & (F.trim(x) != "")) for a in ("terms", "citations", "links", "figures", "table_records")})
 
 
+def _slim(spark: SparkSession, sf: str) -> DataFrame:
+    """What edges need of the chunks, written once: every type of edge reads it."""
+    return materialize(_chunks(spark, sf).select("id", "doc_id", "path", "heading", "seq", "terms", "citations", "links", "figures", "table_records"), "edge-chunks")
+
+
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _TOKENS = f"""
 words AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{X.WORD}'))) AS w FROM documents),
@@ -363,13 +369,13 @@ g AS (SELECT source, target, type, count(*)::DOUBLE AS weight FROM e GROUP BY AL
 
 @_query(f"WITH {_EDGES} SELECT type, count(*) AS n, round(sum(weight), 2) AS weight FROM g GROUP BY type")
 def edges_by_type(spark, sf):
-    return graph.edges(_chunks(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
+    return graph.edges(_slim(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
 
 
 @_query(f"""WITH {_EDGES}, b AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS o FROM g WHERE type NOT IN ('cites', 'links_to') UNION ALL SELECT target, source FROM g WHERE type NOT IN ('cites', 'links_to')))
 SELECT node, count(*) AS degree FROM b GROUP BY node""")
 def neighbour_degrees(spark, sf):
-    return graph.degrees(graph.edges(_chunks(spark, sf)))
+    return graph.degrees(graph.edges(_slim(spark, sf)))
 
 
 @_query(f"""WITH {_COMMUNITIES}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, id) AS fk FROM latest) WHERE fk <= 3),

@@ -53,52 +53,78 @@ def chunk_nodes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return all_.groupBy("id", "type").agg(F.min(F.struct("seq", "label")).alias("m")).select("id", "type", F.col("m.label").alias("label"))
 
 
-def chunk_edges(chunks: DataFrame) -> DataFrame:
-    """(source, target, type, weight) of all edges that chunks give, weights added up."""
-    one = F.lit(1.0)
-    contains = chunks.select(F.col("doc_id").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("type"))
-    under = chunks.filter("heading is not null and heading <> ''").select(F.col("id").alias("source"), X.stable_id("heading", F.concat_ws(":", "path", "heading")).alias("target"), F.lit("under_heading").alias("type"))
-    terms = _items(chunks, "terms")
-    target = X.stable_id("term", "item").alias("target")
-    mentions = terms.select(F.col("id").alias("source"), target, F.lit("mentions").alias("type")).unionByName(terms.select(F.col("doc_id").alias("source"), target, F.lit("mentions").alias("type")))
-
-    def of(column: str, kind: str, key: Column, name: str) -> DataFrame:
-        return _items(chunks, column).select(F.col("id").alias("source"), X.stable_id(kind, key).alias("target"), F.lit(name).alias("type"))
-
-    own = F.concat_ws(":", "id", "item")
-    rest = [of("citations", "citation", F.lower("item"), "cites"), of("links", "external_link", F.lower("item"), "links_to"), of("figures", "figure", own, "has_figure"), of("table_records", "table", own, "has_table")]
+def document_items(chunks: DataFrame) -> DataFrame:
+    """(doc_id, term, times, n): how often chunks of a document name a term, and how many of them. ``chunks`` has each id once."""
+    named = F.filter("terms", lambda x: x.isNotNull() & (F.trim(x) != ""))
+    # the first of a term in its chunk counts the chunk
+    first = F.transform(named, lambda x, k: F.struct(x.alias("term"), (F.array_position(named, x) == k + 1).cast("int").alias("first")))
+    once = F.size(F.array_distinct(named)) == F.size(named)
+    rows = chunks.withColumn("__once", once)
+    t = rows.filter("__once").select("doc_id", F.explode(named).alias("term"), F.lit(1).alias("first"))
+    t = t.unionByName(rows.filter("not __once").select("doc_id", F.explode(first).alias("t")).select("doc_id", "t.term", "t.first"))
+    return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("times"), F.sum("first").alias("n"))
+
+
+def chunk_edges(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(source, target, type, weight) of all edges that chunks give, weights added up.
+
+    ``chunks`` has each id once, so edges of a chunk are added up within its
+    row unless it repeats an item; ``items`` are ``document_items`` of them.
+    """
+    items = document_items(chunks) if items is None else items
+
+    def summed(df: DataFrame, name: str, weight: Column) -> DataFrame:
+        return df.groupBy("source", "target").agg(F.sum(weight).alias("weight")).select("source", "target", F.lit(name).alias("type"), "weight")
+
+    def of(column: str, kind: str, name: str, key=lambda x: x) -> DataFrame:
+        keys = F.transform(F.filter(F.col(column), lambda x: x.isNotNull() & (F.trim(x) != "")), key)
+        rows = chunks.select(F.col("id").alias("source"), keys.alias("keys"))
+        once = F.size(F.array_distinct("keys")) == F.size("keys")
+        exploded = lambda some: rows.filter(some).select("source", F.explode("keys").alias("k"))
+        target = X.stable_id(kind, "k" if column not in ("figures", "table_records") else F.concat_ws(":", "source", "k")).alias("target")
+        return exploded(once).select("source", target, F.lit(name).alias("type"), F.lit(1.0).alias("weight")).unionByName(summed(exploded(~once).select("source", target), name, F.lit(1.0)))
+
+    one = F.lit(1.0).alias("weight")
+    contains = chunks.select(F.col("doc_id").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("type"), one)
+    under = chunks.filter("heading is not null and heading <> ''").select(F.col("id").alias("source"), X.stable_id("heading", F.concat_ws(":", "path", "heading")).alias("target"), F.lit("under_heading").alias("type"), one)
+    by_doc = items.select(F.col("doc_id").alias("source"), X.stable_id("term", "term").alias("target"), F.lit("mentions").alias("type"), F.col("times").cast("double").alias("weight"))
+    mentions = of("terms", "term", "mentions").unionByName(by_doc)
+    both = chunks.select("id").join(chunks.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    if not both.isEmpty():
+        # a chunk has the id of a document; its mentions are one with those of the document
+        mentions = summed(mentions, "mentions", F.col("weight"))
     all_ = contains.unionByName(under).unionByName(mentions)
-    for r in rest:
-        all_ = all_.unionByName(r)
-    return all_.groupBy("source", "target", "type").agg(F.sum(one).alias("weight"))
+    for p in (of("citations", "citation", "cites", F.lower), of("links", "external_link", "links_to", F.lower), of("figures", "figure", "has_figure"), of("table_records", "table", "has_table")):
+        all_ = all_.unionByName(p)
+    return all_
 
 
-def document_terms(chunks: DataFrame, limit: int | None = None) -> DataFrame:
+def document_terms(chunks: DataFrame, limit: int | None = None, items: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, n, rank): in how many chunks of a document a term is; ranked by n, then the term."""
-    t = _items(chunks, "terms").select("doc_id", "id", F.col("item").alias("term")).distinct().groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    t = (document_items(chunks) if items is None else items).select("doc_id", "term", "n")
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")
     ranked = t.withColumn("rank", F.row_number().over(w))
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def similar_documents(chunks: DataFrame, top: int = TOP_TERMS, keep: int = 5) -> DataFrame:
+def similar_documents(chunks: DataFrame, top: int = TOP_TERMS, keep: int = 5, items: DataFrame | None = None) -> DataFrame:
     """(source, target, shared, jaccard): documents whose best terms overlap.
 
     Every pair with at least three shared terms is looked at, but none is
     written, see ``overlap.closest``. Per document the ``keep`` most similar
     of the later ones (by id) remain; ties by id.
     """
-    t = document_terms(chunks, top).select("doc_id", "term")
+    t = document_terms(chunks, top, items).select("doc_id", "term")
     sets = materialize(t.groupBy("doc_id").agg(F.collect_list("term").alias("terms")), "document-terms")
     return closest(sets, "doc_id", "terms", keep, LEAST_OVERLAP, LEAST_SIMILARITY).withColumn("jaccard", F.round("jaccard", 4))
 
 
-def communities(chunks: DataFrame, per_document: int = 8, count: int = 24) -> DataFrame:
+def communities(chunks: DataFrame, per_document: int = 8, count: int = 24, items: DataFrame | None = None) -> DataFrame:
     """(rank, label, documents, weight, cohesion): groups of documents around a shared top term.
 
     Ranked by documents, then the chunks that hold the term, then the label.
     """
-    t = document_terms(chunks, per_document).filter((F.length("term") >= 4) & ~F.col("term").isin(*X.STOP_WORDS))
+    t = document_terms(chunks, per_document, items).filter((F.length("term") >= 4) & ~F.col("term").isin(*X.STOP_WORDS))
     total = chunks.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("total"))
     g = t.groupBy(F.col("term").alias("label")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("weight")).filter("documents >= 2")
     # the best few only: a global limit, not a window over everything
@@ -107,10 +133,10 @@ def communities(chunks: DataFrame, per_document: int = 8, count: int = 24) -> Da
     return best.withColumn("rank", F.row_number().over(w)).join(F.broadcast(total)).select("rank", "label", "documents", "weight", F.round(F.col("documents") / F.greatest("total", F.lit(1)), 4).alias("cohesion"))
 
 
-def community_members(chunks: DataFrame, per_document: int = 8, count: int = 24, most: int = 4) -> DataFrame:
+def community_members(chunks: DataFrame, per_document: int = 8, count: int = 24, most: int = 4, items: DataFrame | None = None) -> DataFrame:
     """(doc_id, label, rank, weight): each document joins its best communities, at most ``most``."""
-    t = document_terms(chunks, per_document).select("doc_id", F.col("term").alias("label"), F.col("n").alias("weight"))
-    c = communities(chunks, per_document, count).select("label", "rank")
+    t = document_terms(chunks, per_document, items).select("doc_id", F.col("term").alias("label"), F.col("n").alias("weight"))
+    c = communities(chunks, per_document, count, items).select("label", "rank")
     w = Window.partitionBy("doc_id").orderBy("rank")
     return t.join(F.broadcast(c), "label").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most).select("doc_id", "label", "rank", "weight")
 
@@ -120,10 +146,10 @@ def topic_nodes(chunks: DataFrame) -> DataFrame:
     return communities(chunks).select(X.stable_id("community", "label").alias("id"), F.lit("community").alias("type"), "label")
 
 
-def topic_edges(chunks: DataFrame) -> DataFrame:
+def topic_edges(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(source, target, type, weight): related_to by the share of common terms, member_of by the chunks that hold the term."""
-    related = similar_documents(chunks).select("source", "target", F.lit("related_to").alias("type"), F.col("jaccard").alias("weight"))
-    member = community_members(chunks).select(F.col("doc_id").alias("source"), X.stable_id("community", "label").alias("target"), F.lit("member_of").alias("type"), F.col("weight").cast("double").alias("weight"))
+    related = similar_documents(chunks, items=items).select("source", "target", F.lit("related_to").alias("type"), F.col("jaccard").alias("weight"))
+    member = community_members(chunks, items=items).select(F.col("doc_id").alias("source"), X.stable_id("community", "label").alias("target"), F.lit("member_of").alias("type"), F.col("weight").cast("double").alias("weight"))
     return related.unionByName(member)
 
 
@@ -133,8 +159,9 @@ def nodes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def edges(chunks: DataFrame) -> DataFrame:
-    """(source, target, type, weight) of all edges of the graph."""
-    return chunk_edges(chunks).unionByName(topic_edges(chunks))
+    """(source, target, type, weight) of all edges of the graph. ``chunks`` has each id once and is read several times."""
+    items = materialize(document_items(chunks), "document-items")
+    return chunk_edges(chunks, items).unionByName(topic_edges(chunks, items))
 
 
 def community_terms(chunks: DataFrame, chunks_per_document: int = 3, terms_per_chunk: int = 8, top: int = 12) -> DataFrame:

@@ -243,3 +243,20 @@ def test_chunk_edges_add_up_within_rows(spark):
         ("c1", "citation", "cites", 2.0), ("c2", "external_link", "links_to", 1.0), ("c1", "figure", "has_figure", 2.0), ("c2", "table", "has_table", 1.0),
     ])
     assert sorted((r.doc_id, r.term, r.n) for r in graph.document_terms(c).collect()) == [("d1", "a", 2), ("d1", "b", 1), ("d2", "a", 1)]
+
+
+def test_degrees_without_comparing_items(spark):
+    import hashlib
+
+    some = "id string, doc_id string, path string, heading string, seq long, terms array<string>, citations array<string>, links array<string>, figures array<string>, table_records array<string>"
+    one = ("p", "H", 1, ["a", "b", "a"], ["x"], None, ["f"], ["t"])
+    # a chunk with the id of its document
+    plain = spark.createDataFrame([("c1", "d1", *one), ("c2", "d1", *one), ("d2", "d2", *one), ("d1", "d2", *one)], some)
+    # a document with the id of a term: linked with its chunk as both
+    odd = spark.createDataFrame([("c1", "term:" + hashlib.sha1(b"a").hexdigest()[:14], *one), ("c2", "d1", *one)], some)
+    assert graph.plain_ids(plain) and not graph.plain_ids(odd)
+    for c in (plain, odd):
+        e = graph.edges(c)
+        ends = {p for r in e.collect() if r.type not in ("cites", "links_to") for p in ((r.source, r.target), (r.target, r.source))}
+        got = {r.node: r.degree for r in graph.degrees(e, graph.plain_ids(c)).collect()}
+        assert got == {n: sum(x == n for x, _ in ends) for n, _ in ends} and len(got) > 8

@@ -375,7 +375,8 @@ def edges_by_type(spark, sf):
 @_query(f"""WITH {_EDGES}, b AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS o FROM g WHERE type NOT IN ('cites', 'links_to') UNION ALL SELECT target, source FROM g WHERE type NOT IN ('cites', 'links_to')))
 SELECT node, count(*) AS degree FROM b GROUP BY node""")
 def neighbour_degrees(spark, sf):
-    return graph.degrees(graph.edges(_slim(spark, sf)))
+    c = _slim(spark, sf)
+    return graph.degrees(graph.edges(c), graph.plain_ids(c))
 
 
 @_query(f"""WITH {_COMMUNITIES}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, id) AS fk FROM latest) WHERE fk <= 3),

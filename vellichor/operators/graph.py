@@ -193,8 +193,29 @@ def neighbours(e: DataFrame) -> DataFrame:
     return e.select(F.col("source").alias("node"), F.col("target").alias("neighbour")).union(e.select("target", "source")).distinct()
 
 
-def degrees(e: DataFrame) -> DataFrame:
-    return neighbours(e).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+#: What the ids of targets begin with, by edge types whose targets are no chunks or documents.
+PREFIXES = {"mentions": "term", "under_heading": "heading", "has_figure": "figure", "has_table": "table", "member_of": "community"}
+
+
+def plain_ids(chunks: DataFrame) -> bool:
+    """Whether no id of a chunk or document looks like that of another node."""
+    odd = "^(" + "|".join(PREFIXES.values()) + "):"
+    return chunks.filter(F.col("id").rlike(odd) | F.col("doc_id").rlike(odd)).isEmpty()
+
+
+def degrees(e: DataFrame, plain: bool = False) -> DataFrame:
+    """(node, degree): how many neighbours a node has.
+
+    ``plain``: ``e`` has each edge once and its chunks have ``plain_ids``. Then
+    nothing but chunks and documents can be linked twice, all others are
+    counted in the tasks.
+    """
+    if not plain:
+        return neighbours(e).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    e = e.filter(F.col("type").isin(*NEIGHBOUR_TYPES))
+    items = e.filter(F.col("type").isin(*PREFIXES))
+    ends = items.select(F.explode(F.array("source", "target")).alias("node"))
+    return ends.unionByName(neighbours(e.filter(~F.col("type").isin(*PREFIXES))).select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def source_hash(chunks: DataFrame, key: str = "id", text: str = "text", length: int = 24) -> DataFrame:

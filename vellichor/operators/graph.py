@@ -141,9 +141,9 @@ def community_members(chunks: DataFrame, per_document: int = 8, count: int = 24,
     return t.join(F.broadcast(c), "label").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most).select("doc_id", "label", "rank", "weight")
 
 
-def topic_nodes(chunks: DataFrame) -> DataFrame:
+def topic_nodes(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(id, type, label) of the communities, which documents and chunks alone don't give."""
-    return communities(chunks).select(X.stable_id("community", "label").alias("id"), F.lit("community").alias("type"), "label")
+    return communities(chunks, items=items).select(X.stable_id("community", "label").alias("id"), F.lit("community").alias("type"), "label")
 
 
 def topic_edges(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -153,14 +153,14 @@ def topic_edges(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return related.unionByName(member)
 
 
-def nodes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, type, label): every node of the graph once."""
-    return chunk_nodes(documents, chunks).unionByName(topic_nodes(chunks))
+def nodes(documents: DataFrame, chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(id, type, label): every node of the graph once. ``items`` are ``document_items`` of the chunks."""
+    return chunk_nodes(documents, chunks).unionByName(topic_nodes(chunks, items))
 
 
-def edges(chunks: DataFrame) -> DataFrame:
+def edges(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(source, target, type, weight) of all edges of the graph. ``chunks`` has each id once and is read several times."""
-    items = materialize(document_items(chunks), "document-items")
+    items = materialize(document_items(chunks), "document-items") if items is None else items
     return chunk_edges(chunks, items).unionByName(topic_edges(chunks, items))
 
 

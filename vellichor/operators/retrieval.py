@@ -2,10 +2,10 @@
 
 Lexical (BM25 and field boosts), vector (hashed features) and graph scores,
 each divided by its greatest, fused by reciprocal ranks and weights, reranked,
-graded. A batch of queries is one DataFrame (qid, query). Words and labels
-bring up (qid, chunk) pairs by joins; boosts are worked out for pairs that
-some score brought up. Vectors are compared in the tasks, a block of queries
-against each batch of chunks, since a cosine is above zero for most pairs.
+graded. A batch of queries is one DataFrame (qid, query). Nearly every chunk
+is brought up by some word, label or vector, so pairs of queries and chunks
+are scored in the tasks, a block of queries against each batch of chunks, and
+none is written: ``ranking`` counts them and names the best.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from vellichor.functions import text as X
 from vellichor.functions import vectors as V
 from vellichor.operators import graph as G
+from vellichor.operators import ranking
 from vellichor.plans.lineage import materialize
-from vellichor.operators.lexical import SparseIndex, bm25, exploded_tokens
+from vellichor.operators.lexical import SparseIndex, exploded_tokens
+from vellichor.operators.ranking import Finder
 
 RRF_K = 60
 #: lexical, vector, graph by mode. Fixed values.
@@ -63,7 +65,10 @@ def expand_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit
     direct = share.join(inside, ["qid", "label"], "full").select("qid", "label", (F.coalesce("ov", F.lit(0)) * 3 + F.coalesce("cs", F.lit(0)) * 2).alias("s"))
     hit = labels.join(direct.select("qid", "label"), "label").select("qid", "id")
     e = edges.filter("type in ('mentions', 'member_of', 'under_heading', 'related_to')").select("source", "target")
-    other = e.join(hit, e["source"] == hit["id"]).select("qid", F.col("target").alias("n")).unionAll(e.join(hit, e["target"] == hit["id"]).select("qid", F.col("source").alias("n")))
+    # these labels are targets: only where an id looks like theirs are sources joined
+    e_from = e.filter(F.col("source").rlike("^(term|community):"))
+    e = e.filter(F.col("target").rlike("^(term|community):"))
+    other = e_from.join(hit, e_from["source"] == hit["id"]).select("qid", F.col("target").alias("n")).unionAll(e.join(hit, e["target"] == hit["id"]).select("qid", F.col("source").alias("n")))
     near = other.join(nodes.select(F.col("id").alias("n"), F.lower("label").alias("label")), "n").groupBy("qid", "label").agg(F.count(F.lit(1)).alias("s"))
     score = direct.unionByName(near.withColumn("s", F.col("s").cast("int"))).groupBy("qid", "label").agg(F.sum("s").alias("s"))
     w = Window.partitionBy("qid").orderBy(F.desc("s"), "label")
@@ -112,6 +117,31 @@ def answerability(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return a.select("qid", level.alias("answerability"), F.coalesce("strong", F.lit(0)).alias("strong"), F.coalesce("usable", F.lit(0)).alias("usable"))
 
 
+def embedded_text() -> Column:
+    return F.concat_ws("\n", "heading", F.array_join("terms", " "), "text")
+
+
+def _searched(chunks: DataFrame) -> DataFrame:
+    """With the text that a chunk is searched by, also in lower case as its heading, and with its flags and defects."""
+    return chunks.withColumn("searched", X.retrieval_text()).withColumns({"low": F.lower("searched"), "heading_low": F.lower("heading"), "flags": X.injection_flags("text"), "defects": X.extraction_warnings("text")})
+
+
+#: Ids of repeated chunks that may go to all tasks.
+MOST_REPEATED = 1_048_576
+
+
+def latest(chunks: DataFrame) -> DataFrame:
+    """As ``graph.latest_chunks``, but moves the ids and not the texts unless an id repeats within a delivery or too many do."""
+    n = chunks.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max("seq").alias("last"), F.sum("n").alias("rows"), F.max(F.struct("seq", "n"))["n"].alias("n"))
+    repeated = materialize(n.filter("rows > 1").select(F.col("id").alias("again"), "last", "n"), "index-repeated")
+    r = repeated.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.max("n"), F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.col("last").isNull()), F.lit(False)).alias("odd")).first()
+    if r["n"] > 1 or r["odd"] or r["ids"] > MOST_REPEATED:
+        return materialize(G.latest_chunks(chunks), "index-chunks")
+    if not r["ids"]:
+        return chunks
+    return chunks.join(F.broadcast(repeated.select("again", "last")), F.col("id").eqNullSafe(F.col("again")), "left").filter("last is null or seq = last").drop("again", "last")
+
+
 @dataclass
 class ChunkIndex:
     """Everything queries need: chunks, sparse index, nodes and edges, embeddings (optional)."""
@@ -122,121 +152,167 @@ class ChunkIndex:
     nodes: DataFrame
     edges: DataFrame
     embeddings: DataFrame | None
+    #: Whether the embeddings are the hashed features of ``embedded_text``, which search then makes itself.
+    hashed: bool = False
 
     @staticmethod
     def build(documents: DataFrame, chunks: DataFrame, embedding: str = "hash") -> ChunkIndex:
         """``chunks`` has id, doc_id, path, heading, ordinal, text, seq and the extracted arrays; repeated deliveries count once."""
         if embedding not in ("hash", "none"):
             raise ValueError(f"unknown embedding: {embedding}")
-        c = G.latest_chunks(chunks)
+        c = latest(chunks)
         empty = F.array().cast("array<string>")
         for a in ("terms", "citations", "links", "figures", "table_records"):
             c = c.withColumn(a, F.filter(F.coalesce(F.col(a), empty), lambda x: x.isNotNull() & (F.trim(x) != "")))
         if "modalities" not in c.columns:
             c = c.withColumn("modalities", F.array(F.lit("text")))
-        c = c.withColumn("heading", F.coalesce("heading", F.lit(""))).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("searched", X.retrieval_text())
-        # what depends on the chunk alone is worked out once, when the index is built
-        c = materialize(c.withColumns({"low": F.lower("searched"), "heading_low": F.lower("heading"), "flags": X.injection_flags("text"), "defects": X.extraction_warnings("text")}), "index-chunks")
-        vectors = None if embedding == "none" else c.select(F.col("id").alias("key"), V.hash_embedding(F.concat_ws("\n", "heading", F.array_join("terms", " "), "text")).alias("embedding"))
-        sparse = SparseIndex.build(c, "id", "searched")
-        postings = materialize(sparse.postings, "index-postings")
-        sparse = SparseIndex(postings, materialize(sparse.lengths, "index-lengths"), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-        return ChunkIndex(c, documents.select("doc_id", "path", "title"), sparse, materialize(G.nodes(documents, c), "index-nodes"), materialize(G.edges(c), "index-edges"), None if vectors is None else materialize(vectors, "index-vectors"))
-
-
-def lexical_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame, also: DataFrame | None = None) -> DataFrame:
-    """(qid, key, score): BM25 and field boosts of chunks that hold a query or expanded word, and of the pairs in ``also``.
-
-    Boosts: 2.2 for the whole query in the text, 0.9 and 0.7 for each query
-    word in heading and title, 0.22 (1 + ln tf) for each expanded word and
-    0.08 for each expanded label contained in the text.
-    """
-    base = bm25(index.sparse, queries)
-    seeds = queries.join(exploded_tokens(queries, "qid", "query").groupBy(F.col("key").alias("qid")).agg(F.collect_set("term").alias("q")), "qid").join(expanded, "qid", "left")
-    seeds = seeds.select("qid", F.lower(F.trim("query")).alias("phrase"), "q", F.array_except(F.coalesce("expanded", F.array().cast("array<string>")), "q").alias("more"))
-    single = seeds.select("qid", F.explode("more").alias("e")).filter(~F.contains("e", F.lit(" ")))
-    tf = index.sparse.postings.join(single, F.col("term") == F.col("e")).select("qid", "key", (0.22 * (1 + F.log("tf"))).alias("s"))
-    c = index.chunks.join(index.documents.select("doc_id", "title"), "doc_id", "left").select(F.col("id").alias("key"), "low", F.col("heading_low").alias("h"), F.lower(F.coalesce("title", F.lit(""))).alias("t"))
-    found = base.select("qid", "key").unionByName(tf.select("qid", "key"))
-    found = (found if also is None else found.unionByName(also.select("qid", "key"))).distinct()
-    part = F.when(F.contains("low", F.col("phrase")), 2.2).otherwise(0.0) + 0.9 * matches(F.col("q"), F.col("h")) + 0.7 * matches(F.col("q"), F.col("t")) + 0.08 * matches(F.col("more"), F.col("low"))
-    boost = found.join(c, "key").join(seeds, "qid").select("qid", "key", part.alias("s"))
-    all_ = base.withColumnRenamed("score", "s").unionByName(tf).unionByName(boost)
-    return all_.groupBy("qid", "key").agg(F.sum("s").alias("score"))
+        c = c.withColumn("heading", F.coalesce("heading", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+        # texts, postings and vectors take more room than what is asked of them: search makes them again in the tasks
+        vectors = None if embedding == "none" else c.select(F.col("id").alias("key"), V.hash_embedding(embedded_text()).alias("embedding"))
+        sparse = SparseIndex.build(_searched(c), "id", "searched")
+        items = materialize(G.document_items(c), "document-items")
+        return ChunkIndex(c, documents.select("doc_id", "path", "title"), sparse, materialize(G.nodes(documents, c, items), "index-nodes"), materialize(G.edges(c, items), "index-edges"), vectors, vectors is not None)
+
+
+def neighbour_terms(index: ChunkIndex, wanted: list[str]) -> DataFrame:
+    """(node, near): which of the words and labels occur within the ids of a node's neighbours."""
+    strings = sorted(set(wanted))
+    shared = index.edges.sparkSession.sparkContext.broadcast(strings)
+
+    @F.pandas_udf("array<string>")
+    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = Finder(shared.value)
+        for s in batches:
+            out = [[] for _ in range(len(s))]
+            for row, k in zip(*find(pa.array(s, pa.string())), strict=True):
+                out[row].append(shared.value[k])
+            yield pd.Series(out)
+
+    e = index.edges.filter(F.col("type").isin(*G.NEIGHBOUR_TYPES))
+    ends = e.select(F.col("source").alias("node"), F.col("target").alias("neighbour")).unionAll(e.select("target", "source"))
+    # ids are looked into once each; few hold a word, and only their edges are joined
+    ids = e.select("source").distinct().unionAll(e.select("target").distinct()).distinct().toDF("neighbour")
+    found = materialize(ids.withColumn("near", inside(F.lower("neighbour"))).filter(F.size("near") > 0), "query-near")
+    return ends.join(found, "neighbour").select("node", F.explode("near").alias("t")).distinct().groupBy("node").agg(F.collect_list("t").alias("near"))
 
 
 #: Queries that are compared with the chunks at once.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
+#: Rows of a table by document or chunk that may go to all tasks.
+MOST_SENT = 262_144
 
 
-def vector_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame, least: float = 0.0, dimensions: int = V.DIMENSIONS) -> DataFrame:
-    """(qid, key, score): cosine with the query, or 0.92 of that with its expansion, whichever is greater.
+def _few(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
 
-    The vectors of the queries go to the tasks in blocks; nothing is joined or shuffled.
-    """
-    q = queries.select("qid", V.hash_embedding("query").alias("v")).join(expanded.select("qid", V.hash_embedding(F.array_join("expanded", " ")).alias("x")), "qid", "left").orderBy("qid")
-    kind = queries.schema["qid"].dataType.simpleString()
-    key = index.embeddings.schema["key"].dataType.simpleString()
-    rows, out = [], None
-
-    def score(rows: list) -> DataFrame:
-        own, wide = np.zeros((len(rows), dimensions)), np.zeros((len(rows), dimensions))
-        for k, r in enumerate(rows):
-            for m, v in ((own, r["v"]), (wide, r["x"])):
-                for bucket, w in (v or {}).items():
-                    m[k, bucket] = w
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in rows]), own, 0.92 * wide))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, own, wide = shared.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    b = whole.slice(at, 1024)
-                    m = np.zeros((b.num_rows, dimensions))
-                    for k, v in enumerate(b.column(1).to_pylist()):
-                        for bucket, w in v or ():
-                            m[k, bucket] = w
-                    c = np.maximum(m @ own.T, m @ wide.T)
-                    i, j = np.nonzero(c > least)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[j]), b.column(0).take(pa.array(i)), pa.array(c[i, j])], names=["qid", "key", "score"])
-
-        return index.embeddings.select("key", "embedding").mapInArrow(run, f"qid {kind}, key {key}, score double")
-
-    for r in q.toLocalIterator():
-        rows.append(r)
-        if len(rows) == QUERY_BLOCK:
-            out, rows = (score(rows) if out is None else out.unionAll(score(rows))), []
-    if rows or out is None:
-        out = score(rows) if out is None else out.unionAll(score(rows))
-    return out
 
+def described(index: ChunkIndex, b: ranking.Batch, hashed: bool) -> DataFrame:
+    """What scores of a block of queries need of each chunk, see ``ranking.FEATURES``: numbers of words, no texts."""
+    near = materialize(neighbour_terms(index, [b.strings[k] for k in sorted({k for e in (*b.own, *b.more) for k in e})]), "query-neighbours")
+    none = F.array().cast("array<string>")
+    titles = index.documents.groupBy("doc_id").agg(F.lower(F.coalesce(F.min("title"), F.lit(""))).alias("title"))
+    c = _searched(index.chunks).join(_few(titles), "doc_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+    if near.isEmpty():
+        c = c.withColumn("near", none)
+    else:
+        near = _few(near)
+        c = c.join(near.select(F.col("node").alias("id"), F.col("near").alias("n1")), "id", "left").join(near.select(F.col("node").alias("doc_id"), F.col("near").alias("n2")), "doc_id", "left")
+        c = c.withColumn("near", F.array_union(F.coalesce("n1", none), F.coalesce("n2", none)))
+    if b.vectors is not None and not hashed:
+        c = c.join(index.embeddings.select(F.col("key").alias("id"), F.col("embedding").alias("vector")), "id", "left")
+    else:
+        c = c.withColumn("vector", F.lit(None).cast("map<int,double>"))
+    c = c.select(
+        F.col("id").alias("key"), "doc_id", "searched", "low", "heading_low", "title", "terms", (embedded_text() if hashed else F.lit("")).alias("embedded"), "near",
+        (F.size("flags") > 0).alias("flagged"), F.size("defects").alias("defects"), (F.size("figures") > 0).alias("figures"), (F.size("table_records") > 0).alias("tables"), "vector",
+    )
+    return materialize(c.mapInArrow(ranking.describe(b, hashed), ranking.FEATURES), "query-chunks")
 
-def neighbour_terms(index: ChunkIndex, terms: DataFrame) -> DataFrame:
-    """(node, near): which of the terms occur within the ids of a node's neighbours. ``terms`` (t) are the words of a batch of queries."""
-    wanted = frozenset(r["t"] for r in terms.distinct().toLocalIterator())
-    sizes = sorted({len(t) for t in wanted})
-    shared = terms.sparkSession.sparkContext.broadcast((wanted, sizes))
 
-    @F.pandas_udf("array<string>")
-    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        wanted, sizes = shared.value
-        for s in batches:
-            yield s.map(lambda x: sorted({x[k : k + n] for n in sizes for k in range(len(x) - n + 1)} & wanted))
+def _related(index: ChunkIndex, top: DataFrame) -> DataFrame:
+    """(q, doc_id): the documents in ``top`` and those related to them."""
+    linked = index.edges.filter("type = 'related_to'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    linked = linked.unionAll(linked.select("b", "a"))
+    return top.unionAll(linked.join(F.broadcast(top), F.col("doc_id") == F.col("a")).select("q", "b")).distinct()
 
-    ends = G.neighbours(index.edges)
-    found = ends.select("neighbour").distinct().withColumn("near", inside(F.lower("neighbour"))).filter(F.size("near") > 0)
-    return ends.join(found, "neighbour").select("node", F.explode("near").alias("t")).distinct().groupBy("node").agg(F.collect_list("t").alias("near"))
 
+def best_pairs(index: ChunkIndex, rows: list, mode: str, limit: int) -> list[tuple]:
+    """(qid, key, lexical, vector, graph, rrf, rerank, raw) of a block of queries, scores divided by their greatest.
 
-def graph_scores(index: ChunkIndex, queries: DataFrame, expanded: DataFrame) -> DataFrame:
-    """(qid, key, score): 0.7 for each expanded label among a chunk's terms, 0.25 for each query or expanded word in them."""
-    seeds = exploded_tokens(queries, "qid", "query").select(F.col("key").alias("qid"), F.col("term").alias("t")).distinct()
-    e = expanded.select("qid", F.explode("expanded").alias("t")).distinct()
-    terms = index.chunks.select(F.col("id").alias("key"), F.explode(F.array_distinct("terms")).alias("t"))
-    whole = terms.join(e.unionByName(seeds).distinct(), "t").select("qid", "key", F.lit(0.7).alias("s"))
-    words = index.chunks.select(F.col("id").alias("key"), F.explode(F.array_distinct(X.tokens(F.array_join("terms", " ")))).alias("t"))
-    part = words.join(seeds.unionByName(e).distinct(), "t").select("qid", "key", F.lit(0.25).alias("s"))
-    return whole.unionByName(part).groupBy("qid", "key").agg(F.sum("s").alias("score"))
+    The best ``limit`` of each are among them. ``rows``: qid, phrase, tokens,
+    expanded and vectors. All pairs count for ranks and greatest scores; they
+    are scored again in each pass (see ``ranking``), none is written.
+    """
+    spark = index.chunks.sparkSession
+    vectors = mode != "lexical"
+    hashed = vectors and index.hashed
+    b = ranking.Batch.of(rows, vectors)
+    n = len(b.qids)
+    chunks = described(index, b, hashed)
+    total = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    df = np.zeros(len(b.strings))
+    for r in chunks.select(F.explode("tf").alias("k")).groupBy("k").count().toLocalIterator():
+        df[r["k"]] = r["count"]
+    score = ranking.Scorer(b, np.log(1 + (total["n"] - df + 0.5) / (df + 0.5)), total["length"] / max(total["n"], 1), hashed)
+
+    def run(task, kind: str = ranking.PASS) -> DataFrame:
+        return materialize(chunks.mapInArrow(task, kind), "query-pass")
+
+    greatest = {k: np.zeros(n) for k in range(6)}
+    steps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def read(found: DataFrame) -> None:
+        t = found.filter(F.col("kind") == ranking.GREATEST).groupBy("bin", "q").agg(F.max("score")).toArrow()
+        for k, q, x in zip(*(c.to_pylist() for c in t.columns), strict=True):
+            greatest[k][q] = x
+        t = found.filter(F.col("kind") == ranking.COUNTED).groupBy("bin", "q").agg(F.sum("n")).toArrow()
+        at, q, m = (c.to_numpy() for c in t.columns)
+        for s in np.unique(at // ranking.BINS):
+            mine = at // ranking.BINS == s
+            count = np.zeros((n, ranking.BINS), np.int64)
+            count[q[mine], at[mine] % ranking.BINS] = m[mine]
+            down = count[:, ::-1].cumsum(axis=1)[:, ::-1]
+            steps[int(s)] = (1 / (RRF_K + np.maximum(down, 1))).ravel(), (1 / (RRF_K + down - count + 1)).ravel()
+
+    share = lambda x: spark.sparkContext.broadcast(x)
+    first = run(ranking.survey(share((score, None)), [0, 1] if vectors else [0], False))
+    read(first)
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
+    # at most five documents a query, and those related to them
+    top = materialize(first.filter(F.col("kind") == ranking.LEAD).withColumn("r", F.row_number().over(w)).filter("r <= 5").select("q", "doc_id").distinct(), "query-top")
+    around: dict[str, list[int]] = {}
+    for r in _related(index, top).toLocalIterator():
+        around.setdefault(r["doc_id"], []).append(r["q"])
+    scored = share((score, around))
+    read(run(ranking.survey(scored, [2], True)))
+    read(run(ranking.extremes(scored, share((steps, greatest)))))
+    named = run(ranking.candidates(scored, share((steps, greatest)), limit, WEIGHTS[mode]), ranking.CANDIDATES)
+    # what no task could leave out by its own pairs, by those of all
+    bound = named.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("least")))).filter(F.col("r") == limit).select("q", F.col("least").alias("bound"))
+    fewest = spark.createDataFrame([(k, float(x)) for k, x in enumerate(greatest[ranking.LEAST])], "q int, fewest double")
+    same = Window.partitionBy("q", "lexical", "vector", "graph", "rerank").orderBy("key")
+    kept = named.join(F.broadcast(bound), "q", "left").join(F.broadcast(fewest), "q").filter((F.col("most") + ranking.MARGIN >= F.coalesce("bound", F.lit(-1.0))) | (F.col("shares") >= F.col("fewest")))
+    kept = kept.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= limit).select("q", "key", "lexical", "vector", "graph", "rerank").toArrow()
+    q, key, lex, vec, gra, rer = (c.to_numpy() for c in kept.columns)
+    if not len(q):
+        return []
+    values = {0: lex, 1: vec, 2: gra}
+    sets = sorted(steps)
+    count = run(ranking.places(scored, share((q, key.astype(str), values)), sets)).groupBy("bin", "q").agg(F.sum("n")).toArrow()
+    s, at, m = (c.to_numpy() for c in count.columns)
+    rrf_sum = np.zeros(len(q))
+    for k in sets:
+        before = np.zeros(len(q), np.int64)
+        before[at[s == k]] = m[s == k]
+        rrf_sum += np.where(values[k] > 0, 1 / (RRF_K + 1 + before), 0.0)
+    most = np.zeros(n)
+    np.maximum.at(most, q, rrf_sum)
+    over = lambda x, t: np.divide(x, t[q], out=np.zeros_like(x), where=t[q] > 0)
+    lex, vec, gra, rer, fused = over(lex, greatest[0]), over(vec, greatest[1]), over(gra, greatest[2]), over(rer, greatest[ranking.RERANK]), over(rrf_sum, most)
+    wl, wv, wg = WEIGHTS[mode]
+    raw = 0.62 * fused + 0.25 * (wl * lex + wv * vec + wg * gra) + 0.13 * rer
+    return [(b.qids[k], *r) for k, *r in zip(q.tolist(), key.tolist(), lex.tolist(), vec.tolist(), gra.tolist(), fused.tolist(), rer.tolist(), raw.tolist(), strict=True)]
 
 
 def search(index: ChunkIndex, queries: DataFrame, mode: str = "hybrid", limit: int = 8, expand: int = 18) -> DataFrame:
@@ -254,48 +330,29 @@ def search(index: ChunkIndex, queries: DataFrame, mode: str = "hybrid", limit: i
         if mode == "vector":
             raise ValueError("the index has no embeddings")
         mode = "lexical" if mode == "hybrid" else mode
+    spark = queries.sparkSession
+    kind = queries.schema["qid"].dataType.simpleString()
     queries = queries.select("qid", F.trim("query").alias("query")).filter("query <> ''")
     # each stage is read several times below
     expanded = materialize(expand_queries(queries, index.nodes, index.edges, expand), "query-expanded")
-    by_graph = materialize(graph_scores(index, queries, expanded), "query-labels")
-    lex = materialize(lexical_scores(index, queries, expanded, by_graph), "query-lexical")
-    vec = materialize(vector_scores(index, queries, expanded), "query-vector") if mode != "lexical" else None
-    lead = lex.select("qid", "key", "score") if vec is None else lex.unionByName(vec).groupBy("qid", "key").agg(F.sum("score").alias("score"))
-    placed = index.chunks.select(F.col("id").alias("key"), "doc_id")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-    # at most five documents a query, and those related to them
-    top = lead.withColumn("r", F.row_number().over(w)).filter("r <= 5").join(placed, "key").select("qid", "doc_id").distinct()
-    linked = index.edges.filter("type = 'related_to'").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    linked = linked.unionAll(linked.select("b", "a"))
-    near_top = top.unionAll(top.join(linked, F.col("doc_id") == F.col("a")).select("qid", "b")).distinct()
-    seeded = lead.filter("score > 0").join(placed, "key").join(near_top, ["qid", "doc_id"], "left_semi").select("qid", "key", F.lit(0.35).alias("score"))
-    words = exploded_tokens(queries, "qid", "query").select(F.col("key").alias("qid"), F.col("term").alias("t")).unionByName(expanded.select("qid", F.explode("expanded").alias("t"))).distinct()
-    near = materialize(neighbour_terms(index, words.select("t")), "query-neighbours")
-    of_chunk, of_doc = near.select(F.col("node").alias("key"), F.col("near").alias("n1")), near.select(F.col("node").alias("doc_id"), F.col("near").alias("n2"))
-    none = F.array().cast("array<string>")
-    around = placed.join(of_chunk, "key", "left").join(of_doc, "doc_id", "left").select("key", F.array_union(F.coalesce("n1", none), F.coalesce("n2", none)).alias("near")).filter(F.size("near") > 0)
-    asks = words.groupBy("qid").agg(F.collect_list("t").alias("ts"))
-    pairs = lead.filter("score > 0").select("qid", "key").unionByName(by_graph.select("qid", "key")).distinct()
-    boosted = pairs.join(around, "key").join(asks, "qid").select("qid", "key", F.least(F.lit(0.4), 0.04 * F.size(F.array_intersect("ts", "near"))).alias("score")).filter("score > 0")
-    gra = materialize(by_graph.unionByName(seeded).unionByName(boosted).groupBy("qid", "key").agg(F.sum("score").alias("score")), "query-graph")
-    sets = {"lexical": lex, "graph": gra} | ({} if vec is None else {"vector": vec})
-    order = {"hybrid": ("lexical", "vector", "graph"), "lexical": ("lexical", "graph"), "vector": ("vector", "graph", "lexical")}[mode]
-    all_ = rrf([sets[s] for s in order])
-    for name, s in sets.items():
-        all_ = all_.join(normalize_scores(s, "score").withColumnRenamed("score", name), ["qid", "key"], "left")
-    if vec is None:
-        all_ = all_.withColumn("vector", F.lit(0.0))
-    all_ = all_.fillna(0.0, ["lexical", "vector", "graph"])
-    terms = exploded_tokens(queries, "qid", "query").groupBy(F.col("key").alias("qid")).agg(F.collect_set("term").alias("q"))
-    asked = queries.join(terms, "qid").join(expanded, "qid", "left").select("qid", "query", F.array_union("q", F.coalesce("expanded", F.array().cast("array<string>"))).alias("wanted"))
-    c = index.chunks.select(F.col("id").alias("key"), "doc_id", "path", "heading", "text", "low", "heading_low", "flags", "defects", "figures", "table_records", "terms", "modalities")
-    full = all_.join(asked, "qid").join(c, "key")
-    full = full.withColumn("rerank", rerank_score(F.col("query"), F.col("wanted"), F.col("low"), F.col("heading_low"), F.col("flags"), F.col("defects"), F.col("figures"), F.col("table_records")))
-    full = full.withColumn("rerank", F.coalesce(F.try_divide("rerank", F.max("rerank").over(Window.partitionBy("qid"))), F.lit(0.0)))
-    wl, wv, wg = WEIGHTS[mode]
-    full = full.withColumn("raw", 0.62 * F.col("rrf") + 0.25 * (wl * F.col("lexical") + wv * F.col("vector") + wg * F.col("graph")) + 0.13 * F.col("rerank")).filter("raw > 0").withColumn("score", F.round("raw", 4))
+    tokens = exploded_tokens(queries, "qid", "query").groupBy(F.col("key").alias("qid")).agg(F.sort_array(F.collect_list("term")).alias("tokens"))
+    asked = queries.join(tokens, "qid").join(expanded, "qid", "left").select("qid", "query", F.lower("query").alias("phrase"), "tokens", "expanded")
+    if mode != "lexical":
+        asked = asked.withColumns({"v": V.hash_embedding("query"), "x": V.hash_embedding(F.array_join(F.coalesce("expanded", F.array().cast("array<string>")), " "))})
+    asked = materialize(asked, "query-asked")
+    rows, found = [], []
+    for r in asked.orderBy("qid").toLocalIterator():
+        rows.append(r)
+        if len(rows) == QUERY_BLOCK:
+            found, rows = found + best_pairs(index, rows, mode, limit), []
+    if rows:
+        found += best_pairs(index, rows, mode, limit)
+    all_ = spark.createDataFrame(found, f"qid {kind}, key string, lexical double, vector double, graph double, rrf double, rerank double, raw double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-    hits = full.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    hits = all_.filter("raw > 0").withColumn("score", F.round("raw", 4)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    hits = hits.join(F.broadcast(asked.select("qid", F.array_union("tokens", F.coalesce("expanded", F.array().cast("array<string>"))).alias("wanted"))), "qid")
+    # a few hits a query
+    hits = _searched(index.chunks.withColumnRenamed("id", "key").join(F.broadcast(hits), "key"))
     coverage = matches(F.col("wanted"), F.col("low")) / F.greatest(F.size("wanted"), F.lit(1))
     flags, defects = F.col("flags"), F.col("defects")
     warnings = F.array_compact(F.concat(defects, F.array(F.when(F.size(flags) > 0, "prompt_injection_flag"))))

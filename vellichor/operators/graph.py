@@ -65,11 +65,17 @@ def document_items(chunks: DataFrame) -> DataFrame:
     return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("times"), F.sum("first").alias("n"))
 
 
-def chunk_edges(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def apart(chunks: DataFrame) -> bool:
+    """Whether no chunk has the id of a document."""
+    return chunks.select("id").join(chunks.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").isEmpty()
+
+
+def chunk_edges(chunks: DataFrame, items: DataFrame | None = None, are_apart: bool | None = None) -> DataFrame:
     """(source, target, type, weight) of all edges that chunks give, weights added up.
 
     ``chunks`` has each id once, so edges of a chunk are added up within its
-    row unless it repeats an item; ``items`` are ``document_items`` of them.
+    row unless it repeats an item; ``items`` are ``document_items`` of them,
+    ``are_apart`` is what ``apart`` says of them.
     """
     items = document_items(chunks) if items is None else items
 
@@ -89,8 +95,7 @@ def chunk_edges(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
     under = chunks.filter("heading is not null and heading <> ''").select(F.col("id").alias("source"), X.stable_id("heading", F.concat_ws(":", "path", "heading")).alias("target"), F.lit("under_heading").alias("type"), one)
     by_doc = items.select(F.col("doc_id").alias("source"), X.stable_id("term", "term").alias("target"), F.lit("mentions").alias("type"), F.col("times").cast("double").alias("weight"))
     mentions = of("terms", "term", "mentions").unionByName(by_doc)
-    both = chunks.select("id").join(chunks.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
-    if not both.isEmpty():
+    if not (apart(chunks) if are_apart is None else are_apart):
         # a chunk has the id of a document; its mentions are one with those of the document
         mentions = summed(mentions, "mentions", F.col("weight"))
     all_ = contains.unionByName(under).unionByName(mentions)
@@ -158,10 +163,10 @@ def nodes(documents: DataFrame, chunks: DataFrame, items: DataFrame | None = Non
     return chunk_nodes(documents, chunks).unionByName(topic_nodes(chunks, items))
 
 
-def edges(chunks: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def edges(chunks: DataFrame, items: DataFrame | None = None, are_apart: bool | None = None) -> DataFrame:
     """(source, target, type, weight) of all edges of the graph. ``chunks`` has each id once and is read several times."""
     items = materialize(document_items(chunks), "document-items") if items is None else items
-    return chunk_edges(chunks, items).unionByName(topic_edges(chunks, items))
+    return chunk_edges(chunks, items, are_apart).unionByName(topic_edges(chunks, items))
 
 
 def community_terms(chunks: DataFrame, chunks_per_document: int = 3, terms_per_chunk: int = 8, top: int = 12) -> DataFrame:
@@ -197,9 +202,9 @@ def neighbours(e: DataFrame) -> DataFrame:
 PREFIXES = {"mentions": "term", "under_heading": "heading", "has_figure": "figure", "has_table": "table", "member_of": "community"}
 
 
-def plain_ids(chunks: DataFrame) -> bool:
+def plain_ids(chunks: DataFrame, more: tuple[str, ...] = ()) -> bool:
     """Whether no id of a chunk or document looks like that of another node."""
-    odd = "^(" + "|".join(PREFIXES.values()) + "):"
+    odd = "^(" + "|".join((*PREFIXES.values(), *more)) + "):"
     return chunks.filter(F.col("id").rlike(odd) | F.col("doc_id").rlike(odd)).isEmpty()
 
 

@@ -27,13 +27,15 @@ from vellichor.operators.lexical import K1, B
 PAIRS = 262_144
 #: Scores are counted in 32 steps a power of two, from 2^-40 to 2^20.
 STEP, LOWEST, BINS = 47, (1023 - 40) << 5, 60 * 32
+#: All weights of features are multiples of it.
+HASHED = 5
 #: Rounding of the last scores can't make up for more.
 MARGIN = 2e-4
 SETS = ("lexical", "vector", "graph")
 FIGURE_WORDS = ("figure", "fig", "image", "chart", "plot", "graph")
 TABLE_WORDS = ("table", "data", "unit", "value", "mpa", "mj")
 LISTS = ("tf", "low", "heading", "title", "label", "word", "near")
-FEATURES = "key string, doc_id string, length int, times array<int>, " + ", ".join(f"{x} array<int>" for x in LISTS) + ", flagged boolean, defects int, figures boolean, tables boolean, vector array<int>"
+FEATURES = "key string, doc_id string, length int, times array<int>, " + ", ".join(f"{x} array<int>" for x in LISTS) + ", flagged boolean, defects int, figures boolean, tables boolean, vector binary"
 
 _STOP = frozenset(X.STOP_WORDS)
 _WORD = re.compile(X.WORD)
@@ -117,6 +119,129 @@ class Finder:
         return u // max(self.total, 1), u % max(self.total, 1)
 
 
+class Hits:
+    """Queries that a label answers: it shares a word with them, holds one of their longer words or lies within one."""
+
+    #: Parts of longer words are not listed.
+    LISTED = 48
+    MOST = 100_000
+    SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+    ODD = re.compile(f"{X.HEX_RUN}|[a-z]{{5,}}of[a-z]{{5,}}")
+
+    def __init__(self, seeds: list[tuple[int, str]]):
+        """``seeds``: number of a query and a word of it."""
+        self.words: dict[str, set[int]] = {}
+        for q, w in seeds:
+            self.words.setdefault(w, set()).add(q)
+        self.long = sorted(w for w in self.words if len(w) > 3)
+        self.find = Finder(self.long)
+        self.parts: dict[str, set[int]] = {}
+        for w in self.long:
+            if len(w) <= self.LISTED:
+                for k in range(len(w)):
+                    for end in range(k + 3, len(w) + 1):
+                        self.parts.setdefault(w[k:end], set()).update(self.words[w])
+        self.rest = [w for w in self.long if len(w) > self.LISTED]
+        self.known: dict[str, np.ndarray] = {}
+
+    @classmethod
+    def useful(cls, t: str) -> bool:
+        """As ``text.expansion_term_is_useful`` of a label in lower case without blanks at its ends."""
+        if len(t) < 3 or t in X.SECTION_WORDS or "pymupdf4llm" in t or t.endswith(" auto") or cls.ODD.search(t) or (" " not in t and len(t) > 18):
+            return False
+        letters = sum("a" <= c <= "z" or "A" <= c <= "Z" for c in t)
+        if letters < 28:
+            return True
+        words = [w for w in cls.SPACE.split(t) if w]
+        return not ((len(words) <= 2 and letters > 35) or (max(map(len, words), default=0) > 34 and len(words) <= 4))
+
+    def __call__(self, labels: list[str]) -> list[np.ndarray]:
+        """The queries of each label, ascending. Labels are in lower case without blanks at their ends, each once."""
+        new = [t for t in labels if t not in self.known]
+        if new:
+            if len(self.known) + len(new) > self.MOST:
+                self.known, new = {}, labels
+            held: dict[int, set[int]] = {}
+            for row, k in zip(*(x.tolist() for x in self.find(pa.array(new, pa.string()))), strict=True):
+                held.setdefault(row, set()).update(self.words[self.long[k]])
+            for row, t in enumerate(new):
+                got = set()
+                if self.useful(t):
+                    got |= held.get(row, set()) | self.parts.get(t, set())
+                    for w in _WORD.findall(t):
+                        if w.lower() not in _STOP:
+                            got |= self.words.get(w.lower().strip("_+-"), set())
+                    for w in self.rest:
+                        if t in w:
+                            got |= self.words[w]
+                self.known[t] = np.array(sorted(got), np.int64)
+        return [self.known[t] for t in labels]
+
+
+#: What ``near_labels`` returns.
+NEAR_LABELS = "q int, label string, s long"
+
+
+def near_labels(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (label, names): how many names answer a query, by query and label. ``shared``: seeds of ``Hits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Hits(shared.value)
+        queries = 1 + max((q for q, _ in shared.value), default=0)
+        for p in batches:
+            names = p["names"].flatten().dictionary_encode()
+            of = hits(names.dictionary.to_pylist())
+            size = np.array([len(x) for x in of], np.int64)
+            code = names.indices.to_numpy(zero_copy_only=False)
+            # null labels are one group, after the others
+            label = p["label"].dictionary_encode()
+            own = label.indices.fill_null(len(label.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.repeat(own, pc.list_value_length(p["names"]).fill_null(0).to_numpy(zero_copy_only=False))
+            many = size[code] if len(code) else np.zeros(0, np.int64)
+            if not many.sum():
+                continue
+            flat = np.concatenate(of)
+            first = np.cumsum(size) - size
+            at = np.arange(many.sum()) + np.repeat(first[code] - (np.cumsum(many) - many), many)
+            u, n = np.unique(np.repeat(own, many) * queries + flat[at], return_counts=True)
+            which = u // queries
+            which = pa.array(which, mask=which == len(label.dictionary))
+            yield pa.RecordBatch.from_arrays([pa.array(u % queries, pa.int32()), label.dictionary.take(which), pa.array(n, pa.int64())], names=["q", "label", "s"])
+
+    return run
+
+
+def _lowered(a: pa.Array) -> pa.Array:
+    if pc.all(pc.string_is_ascii(a)).as_py():
+        return pc.ascii_lower(a)
+    return pa.array([x.lower() for x in a.to_pylist()], pa.string())
+
+
+def near_strings(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of edges (source, target): (node, t), which of the strings occur within the id of the other end, once each a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, strings = Finder(shared.value), pa.array(shared.value, pa.string())
+        for p in batches:
+            for node, other in ((p["source"], p["target"]), (p["target"], p["source"])):
+                known = pc.and_(node.is_valid(), other.is_valid())
+                node, other = node.filter(known), other.filter(known).dictionary_encode()
+                row, k = find(_lowered(other.dictionary))
+                if not len(row):
+                    continue
+                many = np.bincount(row, minlength=len(other.dictionary))
+                code = other.indices.to_numpy(zero_copy_only=False)
+                n = many[code]
+                first = np.cumsum(many) - many
+                at = np.arange(n.sum()) + np.repeat(first[code] - (np.cumsum(n) - n), n)
+                node = node.dictionary_encode()
+                own = np.repeat(node.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
+                u = np.unique(own * len(strings) + k[at])
+                yield pa.RecordBatch.from_arrays([node.dictionary.take(pa.array(u // len(strings))), strings.take(pa.array(u % len(strings)))], names=["node", "t"])
+
+    return run
+
+
 @dataclass
 class Batch:
     """A block of queries: what they want, as numbers of the strings in ``strings``."""
@@ -162,70 +287,133 @@ def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int32()))
 
 
+def words_of(text: str) -> list[str]:
+    return [w.strip("_+-") for w in map(str.lower, _WORD.findall(text)) if w not in _STOP]
+
+
+def _digest(feature: str) -> bytes:
+    return hashlib.blake2b(feature.encode("utf-8", "ignore"), digest_size=8).digest()
+
+
+class _Phrases(dict):
+    """Bucket, doubled, plus the bit of the sign, of phrases by the numbers of their words."""
+
+    def __init__(self, names: list[str], size: int):
+        self.names, self.shifts = names, [Hasher.BITS * k for k in range(size - 1, -1, -1)]
+
+    def __missing__(self, code: int) -> int:
+        d = _digest("phrase:" + " ".join([self.names[code >> k & Hasher.MASK] for k in self.shifts]))
+        self[code] = place = int.from_bytes(d[:4], "little") % V.DIMENSIONS * 2 + (d[4] & 1)
+        return place
+
+
 class Hasher:
-    """Feature vectors of texts before they get unit length, in hundredths, see ``vectors.features``."""
+    """Feature vectors of texts before they get unit length, in hundredths, see ``vectors.features``.
+
+    Words and phrases are hashed when they first occur, and again when too many were kept.
+    """
 
     WEIGHTS = np.array([100, 35])
-    MOST = 250_000
+    PHRASES = ((2, 140), (3, 180))
+    #: Words and phrases of a size that are kept, and the bits of a word's number. Fixed values.
+    MOST, BITS = 250_000, 20
+    MASK = (1 << BITS) - 1
 
     def __init__(self):
-        self.words: dict[str, np.ndarray] = {}
-
-    @staticmethod
-    def _digest(feature: str) -> bytes:
-        return hashlib.blake2b(feature.encode("utf-8", "ignore"), digest_size=8).digest()
-
-    @staticmethod
-    def _place(digests: list[bytes]) -> np.ndarray:
-        """Bucket, doubled, plus the bit of the sign."""
-        d = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
-        return (np.ascontiguousarray(d[:, :4]).view("<u4").ravel() % V.DIMENSIONS).astype(np.int64) * 2 + (d[:, 4] & 1)
-
-    def _word(self, w: str) -> np.ndarray:
-        """The summed weights of a word and its trigrams: pairs of bucket and weight."""
-        tri = [f"tri:{w[k : k + 3]}" for k in range(len(w) - 2)] if len(w) >= 6 else []
-        c = self._place([self._digest(f) for f in (f"tok:{w}", *tri)])
-        kind = np.minimum(np.arange(len(c)), 1)
-        got = np.stack([c >> 1, self.WEIGHTS[kind] * np.where(c & 1, 1, -1)])
-        if len(self.words) >= self.MOST:
-            self.words.clear()
-        self.words[w] = got
-        return got
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.stop = np.zeros(0, bool)
+        #: Features of each word: where they begin, how many, and their buckets and weights.
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bucket, self.weight = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.phrases = [_Phrases(self.names, size) for size, _ in self.PHRASES]
+
+    def _add(self, new: list[str]) -> None:
+        tri = [[f"tri:{w[k : k + 3]}" for k in range(len(w) - 2)] if len(w) >= 6 else [] for w in new]
+        d = np.frombuffer(b"".join(_digest(f) for w, e in zip(new, tri, strict=True) for f in (f"tok:{w}", *e)), np.uint8).reshape(-1, 8)
+        size = np.array([1 + len(e) for e in tri], np.int64)
+        first = np.cumsum(size) - size
+        weight = np.full(len(d), self.WEIGHTS[1])
+        weight[first] = self.WEIGHTS[0]
+        self.first, self.size = np.append(self.first, first + len(self.bucket)), np.append(self.size, size)
+        self.bucket = np.append(self.bucket, (np.ascontiguousarray(d[:, :4]).view("<u4").ravel() % V.DIMENSIONS).astype(np.int64))
+        self.weight = np.append(self.weight, weight * np.where(d[:, 4] & 1, 1, -1))
+        self.stop = np.append(self.stop, [w in _STOP for w in new])
+        for w in new:
+            self.number[w] = len(self.names)
+            self.names.append(w)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        of_words, word_rows, digests, sizes, rows = [], [], [], [], []
-        hashed = hashlib.blake2b
-        for row, text in enumerate(texts):
-            words = [w for w in (m.strip("_+-") for m in map(str.lower, _WORD.findall(text)) if m not in _STOP) if len(w) >= 2]
-            for w in words:
-                got = self.words.get(w)
-                of_words.append(self._word(w) if got is None else got)
-            word_rows.append(len(words))
-            if _STOP.isdisjoint(words):
-                two, three = zip(words, words[1:]), zip(words, words[1:], words[2:])
-            else:
-                two, three = ([x for x in zip(*(words[k:] for k in range(size))) if _STOP.isdisjoint(x)] for size in (2, 3))  # noqa: B905
-            before = len(digests)
-            digests += [hashed(("phrase:" + " ".join(x)).encode(), digest_size=8).digest() for x in two]
-            middle = len(digests)
-            digests += [hashed(("phrase:" + " ".join(x)).encode(), digest_size=8).digest() for x in three]
-            sizes += [middle - before, len(digests) - middle]
-            rows += [row, row]
+        return self.of([words_of(t) for t in texts])
+
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        """``texts`` as words in lower case without stop words; those of one letter don't count."""
         n = len(texts) * V.DIMENSIONS
-        out = np.zeros(n)
-        if of_words:
-            pairs = np.concatenate(of_words, axis=1)
-            row = np.repeat(np.repeat(np.arange(len(texts)), word_rows), [x.shape[1] for x in of_words])
-            out += np.bincount(row * V.DIMENSIONS + pairs[0], pairs[1], n)
-        if digests:
-            c = self._place(digests)
-            weight = np.repeat(np.tile([140, 180], len(texts)), sizes) * np.where(c & 1, 1, -1)
-            out += np.bincount(np.repeat(rows, sizes) * V.DIMENSIONS + (c >> 1), weight, n)
+        words, row = [], []
+        for t in texts:
+            t = [w for w in t if len(w) >= 2]
+            words += t
+            row.append(len(t))
+        row = np.repeat(np.arange(len(texts)), row)
+        if len(self.names) > self.MOST:
+            self._clear()
+        new = sorted({*words} - self.number.keys())
+        if len(self.names) + len(new) > self.MASK:
+            # more than can be numbered beside each other
+            half = len(texts) // 2
+            if not half:
+                raise ValueError(f"a text has more than {self.MASK} different words")
+            return np.concatenate([self.of(texts[:half]), self.of(texts[half:])])
+        if new:
+            self._add(new)
+        w = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        many = self.size[w]
+        at = np.arange(many.sum()) + np.repeat(self.first[w] - (np.cumsum(many) - many), many)
+        out = np.bincount(np.repeat(row, many) * V.DIMENSIONS + self.bucket[at], self.weight[at], n)
+        stop = self.stop[w]
+        for (size, weight), known in zip(self.PHRASES, self.phrases, strict=True):
+            k = len(w) - size + 1
+            if k < 1:
+                continue
+            ok, code = row[:k] == row[size - 1 :], np.zeros(k, np.int64)
+            for j in range(size):
+                ok &= ~stop[j : j + k]
+                code = code << self.BITS | w[j : j + k]
+            if len(known) > self.MOST:
+                known.clear()
+            code = code[ok].tolist()
+            c = np.fromiter(map(known.__getitem__, code), np.int64, len(code))
+            out += np.bincount(row[:k][ok] * V.DIMENSIONS + (c >> 1), np.where(c & 1, weight, -weight), n)
         return out.astype(np.int64).reshape(-1, V.DIMENSIONS)
 
 
+def packed(v: np.ndarray, unit: int) -> pa.Array:
+    """Rows of whole multiples of ``unit`` as bytes, each in as few a number as hold it."""
+    v = v // unit
+    most = np.abs(v).max(axis=1, initial=0)
+    return pa.array([x.astype("<i1" if m < 128 else "<i2" if m < 32768 else "<i4").tobytes() for x, m in zip(v, most, strict=True)], pa.binary())
+
+
+def unpacked(a: pa.Array, unit: int) -> np.ndarray:
+    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    data, out, size = np.frombuffer(a.buffers()[2], np.uint8), np.zeros((len(a), V.DIMENSIONS)), np.diff(offsets)
+    for kind in ("<i1", "<i2", "<i4"):
+        width = np.dtype(kind).itemsize * V.DIMENSIONS
+        rows = np.flatnonzero(size == width)
+        if len(rows):
+            out[rows] = data[offsets[rows][:, None] + np.arange(width)].view(kind)
+    out *= unit
+    return out
+
+
 def describe(b: Batch, hashed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Makes ``FEATURES`` of key, doc_id, searched, low, heading_low, title, terms, embedded, near, flagged, defects, figures, tables, vector."""
+    """Makes ``FEATURES`` of key, doc_id, searched, low, heading_low, title, terms, embedded, near, flagged, defects, figures, tables, vector.
+
+    ``embedded`` is null where it has the words of ``searched``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, hasher = Finder(b.strings), Hasher()
@@ -238,21 +426,22 @@ def describe(b: Batch, hashed: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
             for start in range(0, whole.num_rows, 1024):
                 p = whole.slice(start, 1024)
                 n = p.num_rows
-                tokens = [[w.strip("_+-") for w in map(str.lower, _WORD.findall(t)) if w not in _STOP] for t in p["searched"].to_pylist()]
+                tokens = [words_of(t) for t in p["searched"].to_pylist()]
                 tf = [sorted((at[t], c) for t, c in Counter(e).items() if t in at) for e in tokens]
                 terms = p["terms"].to_pylist()
-                words = [dict.fromkeys(w.strip("_+-") for w in map(str.lower, _WORD.findall(" ".join(e))) if w not in _STOP) for e in terms]
+                words = [dict.fromkeys(words_of(" ".join(e))) for e in terms]
                 lists = {x: _lists(*find(p[c]), n) for x, c in (("low", "low"), ("heading", "heading_low"), ("title", "title"))}
                 lists |= {"tf": pa.array([[k for k, _ in e] for e in tf], pa.list_(pa.int32())), "label": numbered([dict.fromkeys(e) for e in terms]), "word": numbered(words), "near": numbered([dict.fromkeys(e or ()) for e in p["near"].to_pylist()])}
                 if hashed:
-                    v = hasher(p["embedded"].to_pylist())
-                    vector = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * V.DIMENSIONS, pa.int32()), pa.array(v.ravel(), pa.int32()))
-                else:
+                    vector = packed(hasher.of([e if t is None else words_of(t) for e, t in zip(tokens, p["embedded"].to_pylist(), strict=True)]), HASHED)
+                elif b.vectors is not None:
                     m = np.zeros((n, V.DIMENSIONS))
                     for k, e in enumerate(p["vector"].to_pylist()):
                         for bucket, w in e or ():
                             m[k, bucket] = w
-                    vector = pa.array(list(np.rint(m * 1e6).astype(np.int32)) if b.vectors is not None else [[]] * n, pa.list_(pa.int32()))
+                    vector = packed(np.rint(m * 1e6).astype(np.int64), 1)
+                else:
+                    vector = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [p["key"], p["doc_id"], pa.array([len(e) for e in tokens], pa.int32()), pa.array([[c for _, c in e] for e in tf], pa.list_(pa.int32())), *[lists[x] for x in LISTS], p["flagged"], p["defects"], p["figures"], p["tables"], vector],
                     names=["key", "doc_id", "length", "times", *LISTS, "flagged", "defects", "figures", "tables", "vector"],
@@ -318,7 +507,7 @@ class Scorer:
         lex = np.where(found, lex + part, 0.0)
         out = {"lexical": lex, "lead": np.where(found, lex, -1.0)}
         if self.b.vectors is not None:
-            m = p["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, V.DIMENSIONS)
+            m = unpacked(p["vector"], HASHED if self.hashed else 1)
             if self.hashed:
                 norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
                 m = np.rint(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0) * 1e6)

@@ -10,13 +10,10 @@ none is written: ``ranking`` counts them and names the best.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +23,6 @@ from vellichor.operators import graph as G
 from vellichor.operators import ranking
 from vellichor.plans.lineage import materialize
 from vellichor.operators.lexical import SparseIndex, exploded_tokens
-from vellichor.operators.ranking import Finder
 
 RRF_K = 60
 #: lexical, vector, graph by mode. Fixed values.
@@ -47,13 +43,40 @@ def rrf(score_sets: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return normalize_scores(fused, "rrf")
 
 
-def expand_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 18) -> DataFrame:
+def _linked_labels(index: ChunkIndex, seeds: DataFrame) -> DataFrame:
+    """(qid, label, s): the labels that edges of ``expand_queries`` lead to, from the terms that chunks and documents name.
+
+    Labels of terms are looked at where they are named, so neither edges nor
+    nodes are joined. Only for an index with ``items``.
+    """
+    spark = seeds.sparkSession
+    rows = seeds.collect()
+    qids = sorted({r["qid"] for r in rows})
+    at = {q: k for k, q in enumerate(qids)}
+    shared = spark.sparkContext.broadcast([(at[r["qid"]], r["seed"]) for r in rows])
+    plain = lambda c: F.lower(F.trim(c))
+    # as in the nodes, a repeated document has its least title, null first
+    titles = _few(index.documents.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("title"))["title"].alias("title")))
+    chunks = index.chunks.filter("id is not null").select("doc_id", "heading", F.transform(F.array_distinct("terms"), plain).alias("names"))
+    headed = chunks.filter("heading <> ''").select(F.lower("heading").alias("label"), "names")
+    untitled = chunks.filter("heading = ''").join(titles, "doc_id", "left").select(F.lower("title").alias("label"), "names")
+    named = index.items.join(titles, "doc_id").select(F.lower("title").alias("label"), F.array(plain(F.col("term"))).alias("names"))
+    groups = index.nodes.filter("type = 'community'").select(F.col("id").alias("target"), F.array(plain(F.col("label"))).alias("names"))
+    members = index.edges.filter("type = 'member_of'").join(_few(groups), "target").join(titles, F.col("source") == F.col("doc_id")).select(F.lower("title").alias("label"), "names")
+    linked = headed.unionByName(untitled).unionByName(named).unionByName(members).mapInArrow(ranking.near_labels(shared), ranking.NEAR_LABELS)
+    kind = seeds.schema["qid"].dataType.simpleString()
+    names = spark.createDataFrame(list(enumerate(qids)), f"q int, qid {kind}")
+    return linked.groupBy("q", "label").agg(F.sum("s").alias("s")).join(F.broadcast(names), "q").select("qid", "label", "s")
+
+
+def expand_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 18, index: ChunkIndex | None = None) -> DataFrame:
     """(qid, expanded): labels near the terms of each query in the graph.
 
     A term or community label scores 3 for each word it shares with the query
     and 2 if one contains the other (query words of more than three letters);
     labels at the other end of their edges score 1 an edge. The best twice
-    ``limit`` are considered; ties by label.
+    ``limit`` are considered; ties by label. With an ``index`` that has items
+    no edges are joined.
     """
     seeds = exploded_tokens(queries, "qid", "query").select(F.col("key").alias("qid"), F.col("term").alias("seed")).distinct()
     labels = nodes.filter("type in ('term', 'community')").select("id", F.lower(F.trim("label")).alias("label")).filter(X.expansion_term_is_useful("label"))
@@ -63,13 +86,16 @@ def expand_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit
     long_seeds = seeds.filter(F.length("seed") > 3)
     inside = labels.select("label").distinct().join(F.broadcast(long_seeds), F.contains(F.col("label"), F.col("seed")) | F.contains(F.col("seed"), F.col("label"))).select("qid", "label").distinct().withColumn("cs", F.lit(1))
     direct = share.join(inside, ["qid", "label"], "full").select("qid", "label", (F.coalesce("ov", F.lit(0)) * 3 + F.coalesce("cs", F.lit(0)) * 2).alias("s"))
-    hit = labels.join(direct.select("qid", "label"), "label").select("qid", "id")
-    e = edges.filter("type in ('mentions', 'member_of', 'under_heading', 'related_to')").select("source", "target")
-    # these labels are targets: only where an id looks like theirs are sources joined
-    e_from = e.filter(F.col("source").rlike("^(term|community):"))
-    e = e.filter(F.col("target").rlike("^(term|community):"))
-    other = e_from.join(hit, e_from["source"] == hit["id"]).select("qid", F.col("target").alias("n")).unionAll(e.join(hit, e["target"] == hit["id"]).select("qid", F.col("source").alias("n")))
-    near = other.join(nodes.select(F.col("id").alias("n"), F.lower("label").alias("label")), "n").groupBy("qid", "label").agg(F.count(F.lit(1)).alias("s"))
+    if index is not None and index.items is not None:
+        near = _linked_labels(index, seeds)
+    else:
+        hit = labels.join(direct.select("qid", "label"), "label").select("qid", "id")
+        e = edges.filter("type in ('mentions', 'member_of', 'under_heading', 'related_to')").select("source", "target")
+        # these labels are targets: only where an id looks like theirs are sources joined
+        e_from = e.filter(F.col("source").rlike("^(term|community):"))
+        e = e.filter(F.col("target").rlike("^(term|community):"))
+        other = e_from.join(hit, e_from["source"] == hit["id"]).select("qid", F.col("target").alias("n")).unionAll(e.join(hit, e["target"] == hit["id"]).select("qid", F.col("source").alias("n")))
+        near = other.join(nodes.select(F.col("id").alias("n"), F.lower("label").alias("label")), "n").groupBy("qid", "label").agg(F.count(F.lit(1)).alias("s"))
     score = direct.unionByName(near.withColumn("s", F.col("s").cast("int"))).groupBy("qid", "label").agg(F.sum("s").alias("s"))
     w = Window.partitionBy("qid").orderBy(F.desc("s"), "label")
     best = score.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= 2 * limit)
@@ -121,9 +147,16 @@ def embedded_text() -> Column:
     return F.concat_ws("\n", "heading", F.array_join("terms", " "), "text")
 
 
+#: What any of ``text.INJECTION`` holds.
+FLAG_PARTS = ("instruction", "system prompt", "developer message", "exfiltrat", "reveal secrets")
+
+
 def _searched(chunks: DataFrame) -> DataFrame:
     """With the text that a chunk is searched by, also in lower case as its heading, and with its flags and defects."""
-    return chunks.withColumn("searched", X.retrieval_text()).withColumns({"low": F.lower("searched"), "heading_low": F.lower("heading"), "flags": X.injection_flags("text"), "defects": X.extraction_warnings("text")})
+    c = chunks.withColumn("searched", X.retrieval_text()).withColumns({"low": F.lower("searched"), "heading_low": F.lower("heading")})
+    # few texts hold a part of a flag: the others are not matched
+    some = reduce(Column.__or__, [F.contains("low", F.lit(x)) for x in FLAG_PARTS])
+    return c.withColumns({"flags": F.when(some, X.injection_flags("text")).otherwise(F.array().cast("array<string>")), "defects": X.extraction_warnings("text")})
 
 
 #: Ids of repeated chunks that may go to all tasks.
@@ -154,6 +187,8 @@ class ChunkIndex:
     embeddings: DataFrame | None
     #: Whether the embeddings are the hashed features of ``embedded_text``, which search then makes itself.
     hashed: bool = False
+    #: The ``graph.document_items`` that nodes and edges come of, unless ids of different nodes may be the same.
+    items: DataFrame | None = None
 
     @staticmethod
     def build(documents: DataFrame, chunks: DataFrame, embedding: str = "hash") -> ChunkIndex:
@@ -171,29 +206,18 @@ class ChunkIndex:
         vectors = None if embedding == "none" else c.select(F.col("id").alias("key"), V.hash_embedding(embedded_text()).alias("embedding"))
         sparse = SparseIndex.build(_searched(c), "id", "searched")
         items = materialize(G.document_items(c), "document-items")
-        return ChunkIndex(c, documents.select("doc_id", "path", "title"), sparse, materialize(G.nodes(documents, c, items), "index-nodes"), materialize(G.edges(c, items), "index-edges"), vectors, vectors is not None)
+        apart = G.apart(c)
+        plain = apart and G.plain_ids(c, ("citation", "external_link"))
+        nodes, edges = materialize(G.nodes(documents, c, items), "index-nodes"), materialize(G.edges(c, items, apart), "index-edges")
+        return ChunkIndex(c, documents.select("doc_id", "path", "title"), sparse, nodes, edges, vectors, vectors is not None, items if plain else None)
 
 
 def neighbour_terms(index: ChunkIndex, wanted: list[str]) -> DataFrame:
     """(node, near): which of the words and labels occur within the ids of a node's neighbours."""
-    strings = sorted(set(wanted))
-    shared = index.edges.sparkSession.sparkContext.broadcast(strings)
-
-    @F.pandas_udf("array<string>")
-    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = Finder(shared.value)
-        for s in batches:
-            out = [[] for _ in range(len(s))]
-            for row, k in zip(*find(pa.array(s, pa.string())), strict=True):
-                out[row].append(shared.value[k])
-            yield pd.Series(out)
-
-    e = index.edges.filter(F.col("type").isin(*G.NEIGHBOUR_TYPES))
-    ends = e.select(F.col("source").alias("node"), F.col("target").alias("neighbour")).unionAll(e.select("target", "source"))
-    # ids are looked into once each; few hold a word, and only their edges are joined
-    ids = e.select("source").distinct().unionAll(e.select("target").distinct()).distinct().toDF("neighbour")
-    found = materialize(ids.withColumn("near", inside(F.lower("neighbour"))).filter(F.size("near") > 0), "query-near")
-    return ends.join(found, "neighbour").select("node", F.explode("near").alias("t")).distinct().groupBy("node").agg(F.collect_list("t").alias("near"))
+    shared = index.edges.sparkSession.sparkContext.broadcast(sorted(set(wanted)))
+    e = index.edges.filter(F.col("type").isin(*G.NEIGHBOUR_TYPES)).select("source", "target")
+    # ids are looked into where they lie, those of a batch once each; few hold a word
+    return e.mapInArrow(ranking.near_strings(shared), "node string, t string").distinct().groupBy("node").agg(F.collect_list("t").alias("near"))
 
 
 #: Queries that are compared with the chunks at once.
@@ -224,7 +248,7 @@ def described(index: ChunkIndex, b: ranking.Batch, hashed: bool) -> DataFrame:
     else:
         c = c.withColumn("vector", F.lit(None).cast("map<int,double>"))
     c = c.select(
-        F.col("id").alias("key"), "doc_id", "searched", "low", "heading_low", "title", "terms", (embedded_text() if hashed else F.lit("")).alias("embedded"), "near",
+        F.col("id").alias("key"), "doc_id", "searched", "low", "heading_low", "title", "terms", (F.when((F.size("figures") > 0) | (F.size("table_records") > 0), embedded_text()) if hashed else F.lit("")).alias("embedded"), "near",
         (F.size("flags") > 0).alias("flagged"), F.size("defects").alias("defects"), (F.size("figures") > 0).alias("figures"), (F.size("table_records") > 0).alias("tables"), "vector",
     )
     return materialize(c.mapInArrow(ranking.describe(b, hashed), ranking.FEATURES), "query-chunks")
@@ -334,7 +358,7 @@ def search(index: ChunkIndex, queries: DataFrame, mode: str = "hybrid", limit: i
     kind = queries.schema["qid"].dataType.simpleString()
     queries = queries.select("qid", F.trim("query").alias("query")).filter("query <> ''")
     # each stage is read several times below
-    expanded = materialize(expand_queries(queries, index.nodes, index.edges, expand), "query-expanded")
+    expanded = materialize(expand_queries(queries, index.nodes, index.edges, expand, index), "query-expanded")
     tokens = exploded_tokens(queries, "qid", "query").groupBy(F.col("key").alias("qid")).agg(F.sort_array(F.collect_list("term")).alias("tokens"))
     asked = queries.join(tokens, "qid").join(expanded, "qid", "left").select("qid", "query", F.lower("query").alias("phrase"), "tokens", "expanded")
     if mode != "lexical":
